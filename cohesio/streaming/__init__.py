@@ -1,0 +1 @@
+"""The engine is batch only: its query set has no streaming operator, so nothing is built here."""
