@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohesio.llm import shared, token_files, va_search, warc
+from cohesio.llm import quality, secrets, shared, token_files, va_search, warc
+
+
+def _store(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Keeps frames as tables of one new folder under the shared one."""
+    folder = shared.work_dir(spark, tag)
+    return lambda df, name: shared.saved(df, f"{folder}/{name}")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), _store(spark, "secrets"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +35,18 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(docs, shared.work_dir(spark, "token-ids")))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    measured = shared.saved(quality.measure(docs, ["doc_id"]), shared.work_dir(spark, "measures"))
+    return quality.judged(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op5_warc": op5_warc,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_token_ids": op7_token_ids,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
@@ -48,5 +66,29 @@ s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::b
   from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x))
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score
 from s qualify "rank" <= 20
+""",
+    "op10_quality_rules": r"""
+with t as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') text from documents),
+w as (select r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines from t),
+g as (select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] g
+  from (select r, words, unnest(range(1, len(words) - 1)) i from w)),
+p as (select r, i from (select r, i, count(*) over (partition by r, g) n from g) where n > 1),
+c as (select r, count(distinct j) n_repeat_words from (select r, unnest([i, i + 1, i + 2]) j from p) group by r),
+m as (select doc_id, host, len(words) n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols, len(lines) n_lines,
+    len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words
+  from w left join c using (r)),
+f as (select *, (n_words < 50)::int a, (100 * n_repeat_words > 50 * n_words)::int b, (10 * n_symbols > n_words)::int c,
+    (10 * n_dup_lines > 3 * n_lines)::int d, (word_chars < 2 * n_words or word_chars > 15 * n_words)::int e from m),
+h as (select host, rule, count(*) n, sum(x) k from (
+  select host, unnest(['a', 'b', 'c', 'd', 'e']) rule, unnest([a, b, c, d, e]) x from f) group by 1, 2),
+s as (select rule, avg(k / n) mean, var_pop(k / n) var from h group by 1),
+v as (select host, max(case when var <= 1e-12 then mean
+  else (k + mean * (mean * (1 - mean) / var - 1)) / (n + mean * (1 - mean) / var - 1) end) > 0.5 bad
+  from h join s using (rule) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (a = 1 or b = 1) base_failed,
+  not (a = 1 or b = 1) and not (bad and greatest(a, b, c, d, e) = 1) kept
+from f join v using (host)
 """,
 }
