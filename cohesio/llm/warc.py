@@ -30,15 +30,15 @@ DATE = "2000-01-01T00:00:00Z"
 FILES = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def with_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, html, refers_to (null for responses), by Spark's own functions."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
-    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "payload_digest")
+def with_marks(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """page_id, url, html of every page, and a row with payload_digest and refers_to for each page that is a revisit."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
+    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("payload_digest"))
     # Few digests have copies: only those, with the page that keeps the payload, meet the pages again.
     first = digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = digests.join(first, "payload_digest").where("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to"))
-    return rows.join(later, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "refers_to")
+    return rows.unionByName(later, allowMissingColumns=True)
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -66,7 +66,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, roll, out, files = TaskContext.get().partitionId(), 0, None, []
+        shard, roll, out, files, marks = TaskContext.get().partitionId(), 0, None, [], {}
 
         def close() -> None:
             out.commit()
@@ -74,7 +74,11 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes
 
         try:
             for batch in batches:
-                for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                    if digest is not None:  # a mark comes before the pages of its page_id
+                        marks = {k: v for k, v in marks.items() if k[0] == page_id} | {(page_id, digest): refers_to}
+                        continue
+                    refers_to = marks.get((page_id, hashlib.sha256(html.encode()).hexdigest())) if marks else None
                     if out is None:
                         path = f"{folder}/pages-{shard:06d}-{roll:04d}.warc.gz"
                         out, n, whole = shared.Committed(path), 0, hashlib.sha256()
@@ -97,7 +101,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes
         if files:
             yield pa.RecordBatch.from_pylist(files, schema=FILES)
 
-    ordered = with_types(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    # Pages and marks go through one exchange, so html is moved once.
+    ordered = with_marks(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("payload_digest").desc_nulls_last(), "url", "html")
     rows = ordered.mapInArrow(task, "shard long, roll long, path string, n_records long, n_bytes long, sha256 string")
     return shared.saved(rows, f"{folder}/manifest")
 
