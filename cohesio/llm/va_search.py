@@ -12,7 +12,7 @@ Components are taken as floor(scale * x) in double, scores are exact 64-bit inte
 Cases: vectors that are null, or hold null or non-finite components, take no part; vectors of another
 length than the query's are no candidates; a query's own vec_id is never its candidate; ties go to the
 smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result;
-repeated vec_ids are one vector each; columns other than vec_id and embedding are not read.
+of rows with one vec_id the largest vector (in array order) counts; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -68,8 +68,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndar
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows: int = 8192) -> DataFrame:
     """Each query's k best: query_id, rank (from 1), vec_id, score. is_query: a condition on vec_id."""
-    fine = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")).alias("x"), F.size("embedding").alias("d"))
-    fine = fine.dropDuplicates(["vec_id"])
+    fine = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")).alias("x"))
+    fine = fine.groupBy("vec_id").agg(F.max("x").alias("x")).withColumn("d", F.size("x"))
     n = vectors.count()
     v_blocks = max(1, -(-n // block_rows))
     q_blocks = max(1, -(-vectors.where(is_query).count() // block_rows))
