@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohesio.llm import pii, quality, secrets, shared, token_files, va_search, warc
+from cohesio.llm import ngram_join, pii, quality, secrets, shared, token_files, va_search, warc
 
 
 def _store(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
@@ -35,6 +35,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(docs, shared.work_dir(spark, "token-ids")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), _store(spark, "ngram-join"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pii.replaced(docs.select("doc_id", "text"), _store(spark, "pii"))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_token_ids": op7_token_ids,
+    "op8_ngram_join": op8_ngram_join,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
