@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohesio.llm import ngram_join, pii, quality, secrets, shared, token_files, va_search, warc
+from cohesio.llm import ngram_join, packing, pii, quality, secrets, sentence_pieces, shared, token_counts, token_files, va_search, warc
 
 
 def _store(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
@@ -20,6 +20,23 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), _store(spark, "secrets"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are UTF-8 bytes and an end mark, clusters are equal texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.packed(docs, F.octet_length("text") + 1, F.xxhash64("text"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids, and of the text that they decode to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    back = sentence_pieces.decode(sentence_pieces.encode(docs))
+    return back.select("doc_id", "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archive = warc.read(warc.write(pages, shared.work_dir(spark, "warc")))
@@ -52,6 +69,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_counts": op3_token_counts,
+    "op4_sentence_pieces": op4_sentence_pieces,
     "op5_warc": op5_warc,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_token_ids": op7_token_ids,
