@@ -1,41 +1,12 @@
-"""Places that the driver and every executor share, and files written there from executors."""
+"""Files that executors write and read in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from cohesio.storage import delete, saved, shared_dir, work_dir
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; in local mode, where it may be unset, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cohesio-"))
-
-
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new name under the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet and read again: its lineage ends here, and a lost executor costs nothing."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate folder."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["Committed", "delete", "file_system", "read_bytes", "saved", "shared_dir", "work_dir"]
 
 
 def file_system(uri: str):
