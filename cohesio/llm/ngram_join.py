@@ -277,7 +277,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(task, "node long, root long, n long, set binary").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 1000, depth: int = 4, block: int = 128) -> DataFrame:
+def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 1000, depth: int = 4, bucket_block: int = 512, block: int = 128) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of each document (doc_id, text).
 
     class_id is the least doc_id of all documents joined by links, through others too; n_links counts the other
@@ -292,7 +292,7 @@ def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, r
         shared = rows.join(counts, "path").join(nodes.select("node", "sig"), "node")
         if level < depth:
             shared = store(shared, f"buckets-{level}")
-        ready = block_pairs(shared if level == depth else shared.where(F.col("n") <= small), "n", block)
+        ready = block_pairs(shared if level == depth else shared.where(F.col("n") <= small), "n", bucket_block)
         edges = store(likely(ready, threshold - 0.2).distinct(), f"edges-{level}")
         candidates = edges if candidates is None else candidates.unionByName(edges)
         if level == depth or shared.where(F.col("n") > small).isEmpty():
