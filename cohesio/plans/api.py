@@ -9,6 +9,7 @@ from cohesio.operators.neighbours import parse_index
 from cohesio.plans import lazy, rounds, sequential
 from cohesio.plans.rounds import Solution
 from cohesio.sources.problem import Problem
+from cohesio.storage import keeper
 
 #: Which kinds of index each solver takes: 'brute_force', or any other.
 SOLVERS = {"gaec": {"brute_force"}, "dense_gaec": {"brute_force", "other"}, "dense_gaec_inc": {"brute_force", "other"}, "dense_laec": {"brute_force", "other"}, "dense_laec_bf_later": {"other"}, "parallel_gaec": {"brute_force", "other"}}
@@ -35,7 +36,7 @@ def solve(problem: Problem, solver: str, index: str = "brute_force", k: int = 5,
     if solver == "dense_laec_bf_later":
         return lazy.dense_laec(problem, k, k_cap, index, later="faiss_brute_force")
     # Sequential by nature: an exact search within the instance's task, whatever the index.
-    found = sequential.solve(problem.nodes, problem.offset, solver, k, k_cap)
+    found = keeper(problem.nodes.sparkSession, "sequential")(sequential.solve(problem.nodes, problem.offset, solver, k, k_cap), "labels")
     n = found.select("contractions").first()
     return Solution(problem, found.select("node_id", "cluster"), [1] * (n["contractions"] if n else 0))
 

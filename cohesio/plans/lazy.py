@@ -73,6 +73,44 @@ def contracted_in_task(clusters: DataFrame, graph: DataFrame, offset: float, cap
     return inside.groupBy(F.lit("all").alias("_all")).cogroup(graph.select("a", "b", "w").groupBy(F.lit("all").alias("_all"))).applyInArrow(one, "a long, b long")
 
 
+def nearest_here(size: np.ndarray, x: np.ndarray, k: int, offset: float) -> list[tuple[int, int, float]]:
+    """Positive edges (positions a < b, w) of the k-nearest-neighbour graph of clusters in memory."""
+    out: dict[tuple[int, int], float] = {}
+    for lo in range(0, len(x), 512):
+        w = x[lo : lo + 512] @ x.T - offset * size[lo : lo + 512, None] * size[None, :]
+        w[np.arange(len(w)), np.arange(lo, lo + len(w))] = -np.inf
+        for i, row in enumerate(w):
+            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+            for j in at[np.lexsort((at, -row[at]))][:k].tolist():
+                if row[j] > 0:
+                    out[min(i + lo, j), max(i + lo, j)] = float(row[j])
+    return [(a, b, w) for (a, b), w in sorted(out.items())]
+
+
+def finish(clusters: DataFrame, k: int, cap: int, offset: float) -> DataFrame:
+    """cluster, to, rounds: all further graphs and contractions in one task; for a checked, small number of clusters."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cluster")
+        ids, size, x = neighbours._matrix(table)
+        size, x, final, now, counts = size.copy(), x.copy(), np.arange(len(ids)), np.arange(len(ids)), []
+        while len(now) > 1:
+            edges = nearest_here(size[now], x[now], min(k, len(now) - 1), offset)
+            to = contract_here(list(range(len(now))), size[now].copy(), x[now].copy(), edges, offset, cap) if edges else {}
+            moved = {b: a for b, a in to.items() if a != b}
+            if not moved:
+                break
+            counts.append(len(moved))
+            for b, a in sorted(moved.items()):
+                size[now[a]] += size[now[b]]
+                x[now[a]] += x[now[b]]
+                final[final == now[b]] = now[a]
+            now = np.delete(now, list(moved))
+        return pa.table({"cluster": table["cluster"], "to": pa.array(ids[final]), "rounds": pa.array([counts] * len(ids), type=pa.list_(pa.int64()))})
+
+    return clusters.select("cluster", "size", "fsum").groupBy(F.lit("all").alias("_all")).applyInArrow(one, "cluster long, to long, rounds array<long>")
+
+
 def weighed(graph: DataFrame, clusters: DataFrame, offset: float) -> DataFrame:
     """a, b, w of a graph's pairs, from the clusters' sums."""
     ends = [clusters.select(F.col("cluster").alias(e), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}")) for e in "ab"]
@@ -86,9 +124,10 @@ def capped(graph: DataFrame, cap: int) -> DataFrame:
     return best.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
 
 
-def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str = "brute_force", later: str | None = None, small: int = 200_000, most_rounds: int = 10_000) -> Solution:
+def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str = "brute_force", later: str | None = None, small: int = 200_000, small_nodes: int = 4096, most_rounds: int = 10_000) -> Solution:
     """Lazy contraction; ``later`` is the index from the second graph on. Graphs over ``small`` edges are
-    contracted by distributed matchings, smaller ones in one task in strict order."""
+    contracted by distributed matchings, smaller ones in one task in strict order. Once at most ``small_nodes``
+    clusters are left and the index is exact, one task does all the rest by the same rule."""
     keep = keeper(problem.nodes.sparkSession, "lazy")
     first, then = neighbours.parse_index(index), neighbours.parse_index(later or index)
     clusters, labels, rounds = keep(problem.clusters(), "clusters-0"), problem.nodes.select("node_id", F.col("node_id").alias("cluster")), []
@@ -96,6 +135,10 @@ def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str = "brute_f
     for build in range(1, most_rounds + 1):
         if n < 2:
             break
+        if n <= small_nodes and (first if build == 1 else then).exact:
+            last = keep(finish(clusters, k, cap, problem.offset), "last")
+            moved = last.where("to <> cluster").select(F.col("to").alias("a"), F.col("cluster").alias("b"))
+            return Solution(problem, contraction.relabelled(labels, moved), rounds + list(last.select("rounds").first()["rounds"]))
         near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then)
         graph = keep(matching.candidates(near), f"graph-{build}")
         edges, step = graph.count(), 0

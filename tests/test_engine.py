@@ -136,7 +136,9 @@ def test_rounds_three_ways(spark):
 def test_lazy_ends_without_positive_pairs(spark):
     x = np.random.default_rng(9).uniform(-1, 1, (60, 6))
     p = problem(spark, x, 0.3)
-    for options in ({}, {"small": 0}, {"index": "IVF4,Flat", "later": "faiss_brute_force"}):
+    in_task, by_jobs = (lazy.dense_laec(p, 3, 3, small_nodes=n) for n in (100, 0))
+    assert labels_of(in_task.labels) == labels_of(by_jobs.labels) and in_task.rounds == by_jobs.rounds
+    for options in ({}, {"small_nodes": 0, "small": 0}, {"index": "IVF4,Flat", "later": "faiss_brute_force"}):
         found = lazy.dense_laec(p, 3, 3, **options)
         left = objective.cluster_pair_weights(contraction.sums_of(p.nodes, found.labels), 0.3)
         assert left.where("w > 1e-9").isEmpty()
