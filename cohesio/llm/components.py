@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 16
+
 
 def connected(edges: DataFrame, store: Callable[[DataFrame, str], DataFrame], tag: str) -> DataFrame:
     """(node, root) of every node of an edge (u, v) of longs; root is the least node of its component.
@@ -17,13 +19,15 @@ def connected(edges: DataFrame, store: Callable[[DataFrame, str], DataFrame], ta
     now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before, step = mark(now), 0
+    salt, salts = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
         step += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        # A hub's edges are joined to its least neighbour under SALTS keys, so no task gets all of them.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), salts)
+        large = both.withColumn("salt", salt).join(least, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", salts)
+        small = large.withColumn("salt", salt).join(low, ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = store(small, f"{tag}-{step}")
         after = mark(now)
         if after == before:

@@ -97,6 +97,23 @@ s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::b
   from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x))
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score
 from s qualify "rank" <= 20
+""",
+    "op8_ngram_join": r"""
+with recursive t as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words
+  from documents where doc_id is not null),
+g as (select r, doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) i from t where len(words) > 0),
+s as (select distinct r, doc_id, array_to_string(words[i:i + 4], ' ') g from g),
+k as (select r, doc_id, md5(string_agg(g, chr(10) order by g)) node, count(*) n from s group by all),
+nodes as (select node, min(doc_id) doc_id, min(n) n, count(*) copies, min(r) r from k group by node),
+q as (select node, n, g from nodes join s using (r)),
+e as (select x.node a, y.node b from q x join q y on x.g = y.g and x.node < y.node
+  group by x.node, y.node having 5 * count(*) >= 4 * (min(x.n) + min(y.n) - count(*))),
+l as (select a, b from e union all select b, a from e),
+c(node, root) as (select node, doc_id from nodes union select l.b, c.root from c join l on l.a = c.node),
+m as (select node, min(root) class_id from c group by node),
+d as (select a node, count(*) n_links from l group by a)
+select t.doc_id, coalesce(class_id, t.doc_id) class_id, coalesce(n_links, 0) n_links, coalesce(copies, 1) n_copies
+from t left join k using (r) left join m using (node) left join d using (node) left join nodes using (node)
 """,
     "op10_quality_rules": r"""
 with t as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') text from documents),
