@@ -80,7 +80,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+
+
+def _secrets_sql() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = quoted(f"(?:{names})" + secrets.ASSIGN.partition(")")[2])
+    patterns = [assign, *map(quoted, (secrets.ACCESS, secrets.HEX, secrets.RUN))]
+    found = " union all ".join(f"select r, {k} kind, regexp_extract_all(x, {p}) m, string_split_regex(x, {p}) b from t" for k, p in enumerate(patterns))
+    fits = lambda alphabet, needs: " and ".join([f"translate(s, '{alphabet}', '') = ''", *(f"regexp_matches(s, '{n}')" for n in needs)])
+    alphabet = "case " + " ".join(f"when {fits(letters, needs)} then '{letters}'" for _, letters, needs in secrets.ENCODINGS) + " end"
+    kind = " ".join(f"when n >= {least} then {k}" for k, least in reversed(list(enumerate(secrets.CLASSES))))
+    tail = lambda z: f"greatest(exp(-({z}) * ({z}) / 2) * 0.3989422804014327 * (1 / (1 + 0.2316419 * ({z}))) * (0.319381530 + 1 / (1 + 0.2316419 * ({z})) * (-0.356563782 + 1 / (1 + 0.2316419 * ({z})) * (1.781477937 + 1 / (1 + 0.2316419 * ({z})) * (-1.821255978 + 1 / (1 + 0.2316419 * ({z})) * 1.330274429)))), 1e-7)"
+    return f"""
+with t as (select row_number() over () r, doc_id, coalesce(text, '') x from documents),
+f as ({found}),
+i as (select r, kind, m, b, unnest(range(1, len(m) + 1)) i from f),
+a as (select r, kind, m[i] s, (list_sum(list_transform(b[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::int start from i),
+base as (select r, kind, start, start + length(s) stop from a where kind < 3 and (kind > 0 or length(regexp_extract(s, {assign}, 1)) >= 6)),
+e as (select r, start, s, length(s) n, {alphabet} letters from a where kind = 3),
+v as (select r, start, n, length(letters) a, list_transform(string_split(s, ''), lambda c: strpos(letters, c) - 1) x from e where letters is not null),
+q as (select *, a * list_sum(list_transform(range(a), lambda k: power(len(list_filter(x, lambda y: y = k)), 2))) / n - n chi,
+    len(list_filter(x, lambda y: 2 * y >= a)) high, 1 + len(list_filter(range(1, n), lambda j: (2 * x[j] >= a) <> (2 * x[j + 1] >= a))) runs,
+    abs(list_sum(list_transform(range(1, n), lambda j: (x[j] - (a - 1) / 2) * (x[j + 1] - (a - 1) / 2)))) products from v),
+z as (select *, (power(chi / (a - 1), 1 / 3) - (1 - 2 / (9 * (a - 1)))) / sqrt(2 / (9 * (a - 1))) zc, 2 * high * (n - high) / n + 1 mu,
+    products / ((a * a - 1) / 12 * sqrt(n - 1)) zs from q),
+y as (select *, case when high = 0 or high = n then 99 else abs(runs - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1)) end zr from z),
+p as (select *, -(ln(case when zc >= 0 then {tail('zc')} else 1 - {tail('-zc')} end) + ln(least(2 * {tail('zr')}, 1)) + ln(least(2 * {tail('zs')}, 1))) h from y),
+c as (select r, start, start + n stop, case {kind} end class, least(floor(-10 * log10(exp(-h) * (1 + h + h * h / 2))), 60)::int level from p),
+g as (select class, level, count(*) k from c group by all),
+u as (select class, level, sum(k) over (partition by class order by level desc) reached, sum(k) over (partition by class) total from g),
+d as (select class, min(level) least_level from u where pow(10, -level / 10) <= 0.05 * reached / total group by class),
+random as (select c.r, 3 kind, start, stop from c left join d using (class) where level < coalesce(least_level, 61)
+  and not exists (select 1 from base where base.r = c.r and base.start <= c.start and base.stop >= c.stop)),
+w as (select *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop s from (select * from base union all select * from random)),
+o as (select r, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex, count(*) filter (kind = 3) n_random,
+    string_agg(s, ',' order by start, kind, stop) filter (kind < 3) base, string_agg(s, ',' order by start, kind, stop) spans from w group by r)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_random, 0) n_random
+from t left join o using (r)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_secrets": _secrets_sql(),
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') html from pages),
 d as (select page_id, octet_length(encode(html)) payload_bytes, sha256(encode(html)) payload_digest from p),
