@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohesio.functions.vectors import weight
+from cohesio.operators.pairs import all_meet, blocks_for
 
 FOUND = "i long, j long, w double"
 
@@ -57,7 +58,7 @@ def by_expression(queries: DataFrame, clusters: DataFrame, k: int, offset: float
     x = queries.select(F.col("cluster").alias("i"), F.col("size").alias("si"), F.col("fsum").alias("fi"))
     y = clusters.select(F.col("cluster").alias("j"), F.col("size").alias("sj"), F.col("fsum").alias("fj"))
     w = weight("fi", "fj", offset, "si", "sj")
-    return top(x.join(y, F.col("i") != F.col("j")).select("i", "j", (F.round(w, places) if places is not None else w).alias("w")), k)
+    return top(all_meet(x, y, "i", "j", blocks_for(clusters.count())).where("i <> j").select("i", "j", (F.round(w, places) if places is not None else w).alias("w")), k)
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesio.functions.vectors import weight
+from cohesio.operators.pairs import all_meet, blocks_for, pair_weights
 
 
 def group_weights(nodes: DataFrame, offset: float, by: list[str]) -> DataFrame:
@@ -34,8 +35,6 @@ def labeling_cost(nodes: DataFrame, labels: DataFrame, offset: float) -> DataFra
 
 def labeling_cost_by_pairs(nodes: DataFrame, labels: DataFrame, offset: float) -> DataFrame:
     """cost by its definition over all pairs; quadratic, for checks on small instances."""
-    from cohesio.operators.pairs import pair_weights
-
     ends = [labels.select(F.col("node_id").alias(e), F.col("cluster").alias(f"cluster_{e}")) for e in "ab"]
     both = pair_weights(nodes, offset).join(ends[0], "a").join(ends[1], "b")
     return both.where("cluster_a <> cluster_b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cost"))
@@ -48,4 +47,4 @@ def cluster_count(labels: DataFrame) -> DataFrame:
 def cluster_pair_weights(clusters: DataFrame, offset: float) -> DataFrame:
     """a, b, w of all pairs of clusters, from their sums alone."""
     x, y = (clusters.select(F.col("cluster").alias(e), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}")) for e in "ab")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", weight("fsum_a", "fsum_b", offset, "size_a", "size_b").alias("w"))
+    return all_meet(x, y, "a", "b", blocks_for(clusters.count())).where("a < b").select("a", "b", weight("fsum_a", "fsum_b", offset, "size_a", "size_b").alias("w"))

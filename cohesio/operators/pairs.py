@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from cohesio.functions.vectors import weight
 
 
+def all_meet(x: DataFrame, y: DataFrame, x_key: str, y_key: str, blocks: int) -> DataFrame:
+    """Every row of x with every row of y, as an equi-join on pairs of blocks: a task gets one block of each.
+
+    No side is broadcast or held whole, and a row is sent once for each block it meets.
+    """
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = x.withColumn("_bx", F.pmod(F.xxhash64(x_key), F.lit(blocks)).cast("int")).withColumn("_by", all_blocks)
+    right = y.withColumn("_by", F.pmod(F.xxhash64(y_key), F.lit(blocks)).cast("int")).withColumn("_bx", all_blocks)
+    return left.join(right, ["_bx", "_by"]).drop("_bx", "_by")
+
+
+def blocks_for(n: int, rows: int = 2048) -> int:
+    """How many blocks n rows make: at least 4, so that small inputs still give 16 units."""
+    return max(4, -(-n // rows))
+
+
 def pair_weights(nodes: DataFrame, offset: float, places: int | None = None) -> DataFrame:
     """a, b, w of all pairs a < b. It is quadratic by nature: for instances meant to have an explicit graph."""
     x, y = (nodes.select(F.col("node_id").alias(e), F.col("features").alias(f"f_{e}")) for e in "ab")
     w = weight("f_a", "f_b", offset)
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", (F.round(w, places) if places is not None else w).alias("w"))
+    return all_meet(x, y, "a", "b", blocks_for(nodes.count())).where("a < b").select("a", "b", (F.round(w, places) if places is not None else w).alias("w"))
 
 
 def positive(edges: DataFrame) -> DataFrame:
