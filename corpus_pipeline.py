@@ -26,7 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = docs.select("source", "text", F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     judged = quality.judged(store(quality.measure(keyed, ["id", "hash"]), "measures"))
     rejected = store(judged.where(~F.col("kept")).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct(), "rejected")
-    return docs.join(rejected, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_hash") == F.xxhash64(docs["text"])), "left_anti")
+    # By merge at every size: the rejected grow with the documents.
+    rejected = rejected.hint("merge")
+    return docs.join(rejected, rejected["_id"].eqNullSafe(docs["doc_id"]) & (rejected["_hash"] == F.xxhash64(docs["text"])), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     store = _store(spark, "pipeline-near")
     joined = ngram_join.join(docs, store)
     rejected = store(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(rejected, F.col("_id") == docs["doc_id"], "left_anti")
+    rejected = rejected.hint("merge")
+    return docs.join(rejected, rejected["_id"] == docs["doc_id"], "left_anti")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
