@@ -148,7 +148,11 @@ def laid_out(match: Column, kind: Column, found: Column) -> Column:
 
 
 def replaced(docs: DataFrame, store: Callable[[DataFrame, str], DataFrame], key: str = "a secret of the job's own", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates for all personal data in the text, and a column n_entities of places replaced."""
+    """docs with surrogates for all personal data in the text, and a last column of places replaced: n_entities,
+    with underscores after it as long as docs has that name."""
+    counted = "n_entities"
+    while counted.lower() in (c.lower() for c in docs.columns):
+        counted += "_"
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     found = docs.select(ids.alias("id"), F.xxhash64(text).alias("hash"), F.array_distinct(matches(text)).alias("m")).where("size(m) > 0")
     found = store(found.dropDuplicates(["id", "hash"]), "found")
@@ -165,4 +169,4 @@ def replaced(docs: DataFrame, store: Callable[[DataFrame, str], DataFrame], key:
     woven = F.array_join(F.zip_with(gaps, hits, lambda g, m: F.concat(g, F.coalesce(F.element_at("_pii_swaps", m), m, F.lit("")))), "")
     has = F.col("_pii_swaps").isNotNull()
     columns = [F.col(f"`{c}`") if c != text_col else F.when(has, woven).otherwise(text).alias(c) for c in docs.columns]
-    return both.select(*columns, F.when(has, F.size(hits)).otherwise(0).cast("long").alias("n_entities"))
+    return both.select(*columns, F.when(has, F.size(hits)).otherwise(0).cast("long").alias(counted))

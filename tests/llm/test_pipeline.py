@@ -50,6 +50,16 @@ def test_stages_match_brute_force(spark):
     assert max(fill.values()) <= 8192
 
 
+def test_clashing_columns_and_nulls(spark):
+    extra = ", _id long, _hash long, n_entities long, node long, host string, class_id string, `a b` string"
+    rows = [(*r, k, k, 5, k, "h", "c", "x") for k, r in enumerate(documents()[:12])] + [(None, None, None, None, None) + (None,) * 7, (None, "word " * 20 + " ".join(f"w{k}" for k in range(90)), None, None, None) + (None,) * 7]
+    docs = spark.createDataFrame(rows, SCHEMA + extra)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() >= 12
+    assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() >= 14
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame(documents(), SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
