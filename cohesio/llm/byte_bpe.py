@@ -2,9 +2,11 @@
 
 A text is cut before every blank that follows a non-blank. The pre-tokenizer's pattern never joins a
 non-blank with a blank after it, so each piece encodes on its own to the ids it has within the whole
-text. Pieces recur, so their ids are kept in a table that is emptied when it holds MOST pieces.
-Texts with a blank after other white space, or with an added token of the vocabulary, are cut less or
-not at all. The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+text. Arrow splits many texts at once and tells their distinct pieces; only those pass through Python, and numpy
+lays out the ids of all places. Pieces recur, so their ids are kept in a table; when it holds MOST pieces it
+becomes the old one, from which pieces that come again move on, and the old one before is dropped.
+Texts with a blank after other white space are cut by a pattern, and those with an added token of the
+vocabulary are encoded whole. The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -14,10 +16,14 @@ import os
 import re
 
 import numpy as np
-
-#: Pieces kept in a worker's table (about 200 bytes each); beyond it the table starts anew.
-MOST = 600_000
-_INNER = re.compile(r"(?<=\s) ")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Characters that are encoded together, at least one text.
+AT_ONCE = 8_000_000
+#: Pieces in each of a worker's two tables (about 200 bytes each).
+MOST = 500_000
+_INNER = re.compile(r" (?<=\s\s)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _loaded: dict[str, "ByteBPE"] = {}
 
@@ -59,52 +65,97 @@ class ByteBPE:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = byte_letters()
+        self.letters = byte_letters() | {255: " "}
         #: Bytes that each id stands for.
         self.n_bytes = np.zeros(self.whole.get_vocab_size(), dtype=np.int64)
         for token, k in self.whole.get_vocab().items():
             self.n_bytes[k] = len(token)
-        #: Ids of pieces that follow a blank, written without it; ids of the words of the pre-tokenizer.
+        #: Ids of pieces that follow a blank, written without it.
         self.tail: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut at single blanks, the blanks left out (each piece after the first had one before it)."""
-        if not self.plain or any(a in text for a in self.added):
-            return None
-        if text[:1] == " " or _INNER.search(text):
-            return [x if k == 0 else x[1:] for k, x in enumerate(_CUT.split(text))]
-        return text.split(" ")
-
-    def _encode_new(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces; words not met before go into the table."""
-        split = [self.pattern.findall(p) for p in pieces]
-        fresh = [w for w in set().union(*split) if w not in self.words]
-        spelt = [w.encode().decode("latin-1").translate(self.letters) for w in fresh]
+        self.old: dict[str, bytes] = {}
+
+    def _encode_new(self, alone: list[str], joined: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of pieces. Joined ones begin with their only blank and end in a non-blank, so the pattern cuts
+        between them and they are split into words together."""
+        starts, words = list(map(self.pattern.findall, alone)), self.pattern.findall("".join(joined))
+        fresh = list(set(words).union(*starts))
+        spelt = [w.encode() for w in fresh]
+        found: dict[str, bytes] = {}
         for lo in range(0, len(fresh), 2000):
             some = spelt[lo : lo + 2000]
-            got = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
-            ids = np.array(got.ids, dtype="<u4")
-            raw, reached = ids.tobytes(), np.cumsum(self.n_bytes[ids])
-            ends = (4 * np.searchsorted(reached, np.cumsum([len(w) for w in some]), side="right")).tolist()
-            start = 0
-            for w, end in zip(fresh[lo : lo + 2000], ends):
-                self.words[w] = raw[start:end]
-                start = end
-        get = self.words.__getitem__
-        return [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
+            # No UTF-8 text has the byte 255: it parts the words until letters stand for bytes.
+            line = b"\xff".join(some).decode("latin-1").translate(self.letters)
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w) for w in some]), side="right")).tolist()
+            raw = ids.tobytes()
+            found.update(zip(fresh[lo : lo + 2000], [raw[x:y] for x, y in zip([0, *ends[:-1]], ends)]))
+        get = found.__getitem__
+        out: list[bytes] = []
+        for w in words:  # a word that begins with the blank begins a piece
+            if w[0] == " ":
+                out.append(get(w))
+            else:
+                out[-1] += get(w)
+        return [b"".join(map(get, s)) for s in starts], out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.tail) + len(self.words) > MOST:
-            self.tail.clear()
-            self.words.clear()
-        cut = [self._pieces(t) for t in texts]
-        new = list(set().union(*(c[1:] for c in cut if c)) - self.tail.keys())
-        self.tail.update(zip(new, self._encode_new([" " + p for p in new])))
-        first = iter(self._encode_new([c[0] for c in cut if c is not None]))
-        get = self.tail.__getitem__
-        return [self._direct(t) if c is None else next(first) + b"".join(map(get, c[1:])) for t, c in zip(texts, cut)]
+        out: list[bytes] = []
+        start = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= AT_ONCE or k == len(texts) - 1:
+                out += self._encode_some(texts[start : k + 1])
+                start, size = k + 1, 0
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        whole = [not self.plain or any(a in t for a in self.added) for t in texts]
+        odd = [not w and (t[:1] == " " or _INNER.search(t) is not None) for t, w in zip(texts, whole)]
+        plain = [t for t, w, o in zip(texts, whole, odd) if not w and not o]
+        cut = [[x if k == 0 else x[1:] for k, x in enumerate(_CUT.split(t))] for t, o in zip(texts, odd) if o]
+        lists = pc.split_pattern(pa.array(plain, type=pa.string()), " ")
+        if cut:
+            lists = pa.concat_arrays([lists, pa.array(cut, type=pa.list_(pa.string()))])
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        place, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        heads = [t.partition(" ")[0] for t in plain] + [c[0] for c in cut]
+        first, ids = self._ids_of(heads, distinct)
+        if len(starts) > 1:
+            place[starts[:-1]] = len(distinct) + np.arange(len(heads))  # a text's first piece has no blank before it
+        every = [*ids, *first]
+        length = np.array([len(x) for x in every], dtype=np.int64) // 4
+        table, begin = np.frombuffer(b"".join(every), dtype="<u4"), np.cumsum(length) - length
+        n = length[place]
+        ends = np.cumsum(n)
+        laid = table[np.repeat(begin[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        stops = np.concatenate([[0], 4 * ends])[starts].tolist()
+        plain_ids = iter([laid[x:y] for x, y in zip(stops, stops[1:])])
+        found: list[bytes | None] = [self._direct(t) if w else None if o else next(plain_ids) for t, w, o in zip(texts, whole, odd)]
+        return [next(plain_ids) if x is None else x for x in found]
+
+    def _ids_of(self, heads: list[str], pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of pieces that begin texts, and of distinct ones that follow a blank."""
+        if len(self.tail) > MOST:
+            self.old, self.tail = self.tail, {}
+        tail = self.tail
+        got = list(map(tail.get, pieces))
+        lacking = [k for k, x in enumerate(got) if x is None] if None in got else []
+        known = list(map(self.old.get, map(pieces.__getitem__, lacking))) if self.old else [None] * len(lacking)
+        joined, odd = [], []
+        for k, x in zip(lacking, known):
+            if x is not None:
+                got[k] = tail[pieces[k]] = x
+            else:
+                p = pieces[k]
+                (joined if p and " " not in p and not p[-1].isspace() and not p[0].isspace() else odd).append(k)
+        alone, ids = self._encode_new([*heads, *(" " + pieces[k] for k in odd)], [" " + pieces[k] for k in joined])
+        for at, found in ((joined, ids), (odd, alone[len(heads) :])):
+            tail.update(zip(map(pieces.__getitem__, at), found))
+            for k, x in zip(at, found):
+                got[k] = x
+        return alone[: len(heads)], got
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

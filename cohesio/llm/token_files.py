@@ -11,8 +11,9 @@ A file is a run of blocks. Each block holds whole documents in ascending doc_id
 Ranks are a block's own, so writing takes one pass and memory is bounded by a block. Frequent ids take one
 byte. Decoding looks lengths up by control byte, so numpy decodes a block without a loop over ids.
 
-Cases: a null or empty text has the end id alone; equal doc_ids stay apart, in no set order; an empty table
-gives no file and an empty result; other columns of the input are not read.
+Cases: a null or empty text has the end id alone; equal doc_ids stay apart, in the order of their texts; rows
+with a null doc_id are left out; an empty table gives no file and an empty result; other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | None =
         try:
             for batch in batches:
                 ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
-                for lo in range(0, len(ids), 1000):
-                    for key, x in zip(ids[lo : lo + 1000], encoder.encode([t or "" for t in texts[lo : lo + 1000]])):
+                for lo in range(0, len(ids), 4000):
+                    for key, x in zip(ids[lo : lo + 4000], encoder.encode([t or "" for t in texts[lo : lo + 4000]])):
                         names.append(key)
                         held.append(x + end)
                         size += len(held[-1]) // 4
@@ -119,7 +120,7 @@ def write(docs: DataFrame, folder: str, end_id: int = 2, tokenizer: str | None =
                 out.abort()
             raise
 
-    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = shared.saved(ordered.mapInArrow(task, "file long, path string, n_docs long, n_ids long"), f"{folder}/files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return shared.saved(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))), f"{folder}/manifest")
