@@ -7,8 +7,8 @@ crosses a boundary counts where most of its bytes lie, and in the earlier sectio
 document's sections, with what lies outside all of them, add up to its tokens.
 
 Cases: a null or empty text has no sections by lines and thus no rows; tokens outside all given sections
-count in section -1; repeated rows come back each; an empty table gives an empty result; other columns are
-not read. Sections must be ascending and must not overlap.
+count in section -1; repeated rows come back each; rows with a null doc_id are left out; an empty table gives
+an empty result; other columns are not read. Sections must be ascending and must not overlap.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def counts(docs: DataFrame, sections: str | None = None, tokenizer: str | None =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe.load(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 given = batch.column(2).to_pylist() if sections else [None] * len(texts)
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
