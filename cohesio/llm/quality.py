@@ -28,6 +28,8 @@ RULES = ("short", "repeats", "symbols", "lines", "lengths")
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
+SALTS = 64
+
 
 def repeat_words(words: list[bytes]) -> int:
     """How many words lie in a 3-word window that occurs at least twice."""
@@ -101,8 +103,11 @@ def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
 
 def judged(measured: DataFrame) -> DataFrame:
     """measured with base_failed, host_rejected and kept; measured is read twice, so it should be a table."""
-    bad = host_verdicts(measured).where("host_rejected").select("host", "host_rejected")
+    # A host may have a third of all documents, so the join is salted; rejected hosts are few.
+    bad = host_verdicts(measured).where("host_rejected").select("host", "host_rejected", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in measured.columns)), F.lit(SALTS)).cast("int")
     any_rule = F.greatest(*(F.col(f"fails_{r}") for r in RULES))
     base = F.col("fails_short") | F.col("fails_repeats")
     rejected = F.coalesce("host_rejected", F.lit(False))
-    return measured.join(bad, "host", "left").withColumn("base_failed", base).withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & any_rule))
+    salted = measured.withColumn("_salt", salt).join(bad, ["host", "_salt"], "left").drop("_salt")
+    return salted.withColumn("base_failed", base).withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & any_rule))
