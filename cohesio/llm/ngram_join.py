@@ -293,7 +293,7 @@ def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, r
         if level < depth:
             shared = store(shared, f"buckets-{level}")
         ready = block_pairs(shared if level == depth else shared.where(F.col("n") <= small), "n", bucket_block)
-        edges = store(likely(ready, threshold - 0.2).distinct(), f"edges-{level}")
+        edges = likely(ready, threshold - 0.2)
         candidates = edges if candidates is None else candidates.unionByName(edges)
         if level == depth or shared.where(F.col("n") > small).isEmpty():
             break
@@ -303,7 +303,7 @@ def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, r
     wanted = likely_roots.join(sizes, "root").join(nodes.select("node", "doc_id"), "node")
     sets = store(sets_of(docs, wanted.select("doc_id", "node", "root", "n"), size), "sets")
     links = store(verified(block_pairs(sets, "n", block), threshold), "links")
-    true_roots = store(components.connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")), store, "true"), "true")
+    true_roots = components.connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")), store, "true")
     numbers = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     labelled = nodes.select("node", "doc_id", "copies").join(true_roots, "node", "left").join(numbers, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
