@@ -161,8 +161,8 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = 65_536, chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids = load(model).encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([1] * len(ids), type=pa.int64()), pa.array(ids, type=pa.binary())], names=["doc_id", "n_chunks", "ids"])
 
@@ -225,9 +225,11 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """encoded (doc_id, ids, and more) with the text that the ids stand for."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [load(model).decode(x) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = [load(model).decode(x.as_py()) for x in batch.column(batch.schema.get_field_index("ids"))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(task, f"{kinds}, text string")
