@@ -3,7 +3,8 @@
 A search takes clusters (cluster, size, fsum) and returns i, j, w, rank: for every cluster i its best k others,
 ties to the smaller j. Block search deals out pairs of blocks evenly and merges each block's best k, which
 loses nothing, as the best k of all are among the best k of the blocks. Nothing is broadcast or collected but
-the cells' centres, whose number is a parameter.
+the cells' centres, whose number is a parameter, and the exact neighbours of ASKED queries, by which a search of
+cells measures how many of them it must look into.
 """
 
 from __future__ import annotations
@@ -19,15 +20,19 @@ from cohesio.functions.vectors import weight
 from cohesio.operators.pairs import all_meet, blocks_for
 
 FOUND = "i long, j long, w double"
+#: So many queries are answered exactly, and the cells that hold this share of their neighbours are
+#: enough. The share leaves room for the sample's error above a recall of 0.9.
+ASKED, SHARE = 512, 0.95
 
 
 @dataclass(frozen=True)
 class Index:
-    """How neighbours are searched: kind 'expr', 'block' or 'ivf'; cells and probes are for the last."""
+    """How neighbours are searched: kind 'expr', 'block' or 'ivf'; cells and probes are for the last.
+    Without probes, by_cells measures how many it needs."""
 
     kind: str
     cells: int = 64
-    probes: int = 8
+    probes: int | None = None
 
     @property
     def exact(self) -> bool:
@@ -113,13 +118,34 @@ def cell_centres(clusters: DataFrame, cells: int, sample_rows: int = 20_000, see
     return np.array(model.clusterCenters())
 
 
+def probes_for(queries: DataFrame, clusters: DataFrame, homes: DataFrame, centres: np.ndarray, k: int, offset: float) -> int:
+    """The fewest cells that hold SHARE of the exact k best of ASKED queries (all of fewer); homes has cluster, cell."""
+    some = queries.orderBy(F.xxhash64("cluster"), "cluster").limit(ASKED)
+    exact = by_blocks(some, clusters, k, offset, n=(ASKED, clusters.count()))
+    held = exact.join(homes.select(F.col("cluster").alias("j"), "cell"), "j").select("i", "cell").collect()  # ASKED * k rows
+    if not held:
+        return 1
+    ids, size, x = _matrix(some.select("cluster", "size", "fsum").toArrow())
+    # The place of each cell in each query's order.
+    place = np.argsort(cell_order(size, x, centres, offset), axis=1)
+    at = {c: n for n, c in enumerate(ids.tolist())}
+    needed = np.sort([place[at[r["i"]], r["cell"]] for r in held])
+    return int(needed[int(np.ceil(SHARE * len(needed))) - 1]) + 1
+
+
+def cell_order(size: np.ndarray, x: np.ndarray, centres: np.ndarray, offset: float) -> np.ndarray:
+    """For each query the cells by affinity of their centres, best first."""
+    return np.argsort(-(x @ centres.T - offset * size[:, None]), axis=1, kind="stable")
+
+
 def by_cells(queries: DataFrame, clusters: DataFrame, k: int, offset: float, index: Index, block_rows: int = 4096, seed: int = 1) -> DataFrame:
-    """Approximate search: each query looks into the cells whose centres have the largest affinity to it.
+    """Approximate search: each query looks into the cells whose centres have the largest affinity to it, as many as
+    the index says or else as probes_for measures.
 
     Every vector is in one cell, its nearest centre. Large cells are dealt out in blocks.
     """
     centres = cell_centres(clusters, index.cells, seed=seed)
-    probes, norms = min(index.probes, len(centres)), (centres**2).sum(axis=1)
+    norms = (centres**2).sum(axis=1)
 
     def home(batches):
         for batch in batches:
@@ -130,13 +156,14 @@ def by_cells(queries: DataFrame, clusters: DataFrame, k: int, offset: float, ind
     def probe(batches):
         for batch in batches:
             _, size, x = _matrix(pa.Table.from_batches([batch]))
-            at = np.argsort(-(x @ centres.T - offset * size[:, None]), axis=1, kind="stable")[:, :probes] if len(size) else np.empty((0, probes))
+            at = cell_order(size, x, centres, offset)[:, :probes] if len(size) else np.empty((0, probes))
             whole = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), probes)))
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(at.reshape(-1).astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     columns, kinds = ["cluster", "size", "fsum"], "cluster long, size long, fsum array<double>, cell int"
     mean_size = F.col("size") * 1
     base = clusters.select("cluster", mean_size.alias("size"), "fsum").mapInArrow(home, kinds)
+    probes = min(index.probes or probes_for(queries, clusters, base, centres, k, offset), len(centres))
     counts = {r["cell"]: max(1, -(-r["count"] // block_rows)) for r in base.groupBy("cell").count().collect()}  # one row per cell
     parts = F.coalesce(F.element_at(F.create_map(*(x for c, b in counts.items() for x in (F.lit(c), F.lit(b)))), F.col("cell")), F.lit(1)) if counts else F.lit(1)
     ask = queries.select(*columns).mapInArrow(probe, kinds)

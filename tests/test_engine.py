@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohesio import queries
 from cohesio.functions import vectors
 from cohesio.operators import contraction, matching, neighbours, objective, pairs
 from cohesio.plans import api, lazy, rounds, sequential
@@ -185,6 +186,16 @@ def test_searches_agree(spark):
     assert all({j for _, j in full[i]} == exact[i] for i in range(120) if len({w for w, _ in want[i]}) == 6)
 
 
+def test_recall_of_registered_indices(spark):
+    at = "/root/testdata/sf0.1"
+    exact = {(r.i, r.j) for r in queries.knn5(spark, at).select("i", "j").collect()}
+    clusters = Problem.from_table(spark.read.parquet(f"{at}/embeddings.parquet"), queries.OFFSET).clusters()
+    for found in (queries.knn_ivf(spark, at), neighbours.nearest(clusters, 5, queries.OFFSET, neighbours.parse_index("HNSW"))):
+        recall = len(exact & {(r.i, r.j) for r in found.select("i", "j").collect()}) / len(exact)
+        print(f"recall {recall:.4f}")
+        assert recall >= 0.9
+
+
 def test_greedy_matching(spark):
     rng = np.random.default_rng(6)
     edges = list({(int(min(a, b)), int(max(a, b))): float(w) for a, b, w in zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(1, 12, 150)) if a != b}.items())
