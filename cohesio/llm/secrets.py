@@ -3,9 +3,12 @@
 Base kinds are found by pattern (leftmost, not overlapping, each kind on its own): ``assign`` (a key name, a
 separator and a value of 6 or more), ``access`` (AKIA ids of 20 or more) and ``hex`` (24 or more).
 
-The battery looks at every maximal run of 20 or more characters of ``A-Za-z0-9+/_-``. Its encoding is
-inferred as the smallest alphabet that holds it (hex in either case, base32, letters and digits, base64,
-base64url) provided it has a digit and a letter (in the larger alphabets both cases). Under "the symbols are drawn evenly and
+The battery looks at every maximal run of 20 or more characters of ``A-Za-z0-9+/_-`` with a digit and a letter.
+Its encoding is inferred as the smallest alphabet that holds it (hex in either case, base32, letters of one case and
+digits, letters and digits, base64, base64url; in the last three with both cases). A run that fits none is cut: its
+longest parts without ``/_-``, then those without ``/``, are candidates of their own where they have 20 characters,
+a digit and a letter, and so is what lies between. A candidate that fits no encoding even then (a UUID) is tested
+by its letters and digits, or, if they are fewer than 20, as a string over all 66 characters. Under "the symbols are drawn evenly and
 independently" it gets three p-values: chi-squared of the symbol counts, runs above and below the middle of
 the alphabet, and the correlation of neighbours. Fisher's rule combines them. Within each length class the
 Benjamini-Hochberg procedure then rejects randomness for structured strings at a false-discovery rate, so
@@ -38,7 +41,16 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ("[0-9]", "[A-Z]", "[a-z]")),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", ("[0-9]", "[A-Z]", "[a-z]")),
 )
-#: Length classes begin at these lengths.
+#: The encodings of one case with all digits. The SQL of the query has ENCODINGS alone.
+ONE_CASE = (
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", ("[0-9]", "[a-z]")),
+    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("[0-9]", "[A-Z]")),
+)
+#: What the parts of a run that fits no encoding consist of, and the alphabet of what can't be told.
+PARTS = ("A-Za-z0-9+", "A-Za-z0-9+_-")
+ALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+LEAST = 20
+#: Length classes begin at these lengths, in symbols.
 CLASSES = (20, 28, 40, 64)
 SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
@@ -70,20 +82,43 @@ def tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) * 0.3989422804014327 * poly, F.lit(1e-7))
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """For rows with a column ``text``: encoding (null where none fits), the three p-values and ``p`` of all."""
+def fitting(text: str) -> tuple[Column, Column]:
+    """Name and alphabet of the first encoding that holds the column, null where none does."""
     name, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for key, letters, needs in reversed(ENCODINGS):
-        fits = F.translate("text", letters, "") == ""
+    for key, letters, needs in reversed(ENCODINGS + ONE_CASE):
+        fits = F.translate(text, letters, "") == ""
         for need in needs:
-            fits = fits & F.col("text").rlike(need)
+            fits = fits & F.col(text).rlike(need)
         name, alphabet = F.when(fits, key).otherwise(name), F.when(fits, letters).otherwise(alphabet)
-    rows = tokens.withColumn("encoding", name).withColumn("alphabet", alphabet)
-    rows = rows.withColumn("a", F.char_length("alphabet")).withColumn("n", F.char_length("text"))
-    counts = F.expr("aggregate(transform(sequence(1, a), k -> n - char_length(replace(text, substr(alphabet, k, 1), ''))), 0D, (s, c) -> s + c * c)")
-    rows = rows.withColumn("chi", F.when(F.col("encoding").isNotNull(), F.col("a") * counts / F.col("n") - F.col("n")))
-    places = F.expr("transform(filter(split(text, ''), c -> c <> ''), c -> locate(c, alphabet) - 1)")
-    rows = rows.withColumn("x", F.when(F.col("encoding").isNotNull(), places))
+    return name, alphabet
+
+
+def is_candidate(text: Column) -> Column:
+    return (F.char_length(text) >= LEAST) & text.rlike("[0-9]") & text.rlike("[A-Za-z]")
+
+
+def divided(tokens: DataFrame, letters: str) -> DataFrame:
+    """Rows that aren't ``whole`` give way to their longest parts of these letters, which are, and to what lies between."""
+    own = rf"[{letters}]"
+    pattern = rf"(?<!{own})(?={own}*[0-9])(?={own}*[A-Za-z]){own}{{{LEAST},}}+"
+    parts = spans(F.col("text"), pattern, 3)
+    row = lambda at, text, whole: F.struct(at.alias("at"), text.alias("text"), whole.alias("whole"))
+    between = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(parts, lambda s: s["end"])), F.split("text", pattern, -1), lambda at, text: row(at, text, F.lit(False)))
+    found = F.concat(F.transform(parts, lambda s: row(s["start"], s["text"], F.lit(True))), F.filter(between, lambda s: is_candidate(s["text"])))
+    some = F.when(F.col("whole"), F.array(row(F.lit(0), F.col("text"), F.lit(True)))).otherwise(found)
+    return tokens.select("doc_id", "start", F.explode(some).alias("s")).select("doc_id", (F.col("start") + F.col("s.at")).alias("start"), "s.text", "s.whole")
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """For rows with a column ``text``: encoding, the symbols tested under it, the three p-values and ``p`` of all."""
+    bare = F.regexp_replace("text", "[+/_-]", "")
+    rows = tokens.withColumn("symbols", F.when(fitting("text")[0].isNull() & (F.char_length(bare) >= LEAST), bare).otherwise(F.col("text")))
+    name, alphabet = fitting("symbols")
+    rows = rows.withColumn("encoding", F.coalesce(name, F.lit("all"))).withColumn("alphabet", F.coalesce(alphabet, F.lit(ALL)))
+    rows = rows.withColumn("a", F.char_length("alphabet")).withColumn("n", F.char_length("symbols"))
+    counts = F.expr("aggregate(transform(sequence(1, a), k -> n - char_length(replace(symbols, substr(alphabet, k, 1), ''))), 0D, (s, c) -> s + c * c)")
+    rows = rows.withColumn("chi", F.col("a") * counts / F.col("n") - F.col("n"))
+    rows = rows.withColumn("x", F.expr("transform(filter(split(symbols, ''), c -> c <> ''), c -> locate(c, alphabet) - 1)"))
     rows = rows.withColumn("high", F.expr("cast(size(filter(x, v -> 2 * v >= a)) as double)"))
     rows = rows.withColumn("runs", F.expr("1D + size(filter(sequence(1, n - 1), i -> (2 * x[i] >= a) <> (2 * x[i - 1] >= a)))"))
     rows = rows.withColumn("products", F.expr("aggregate(sequence(1, n - 1), 0D, (s, i) -> s + (x[i] - (a - 1) / 2D) * (x[i - 1] - (a - 1) / 2D))"))
@@ -103,19 +138,23 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and candidate spans (with length class and p's level) of each text; no text is kept."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(spans(text, ASSIGN, 0, 6), spans(text, ACCESS, 1), spans(text, HEX, 2))
-    runs = F.filter(spans(text, RUN, 3), lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]"))
+    runs = F.filter(spans(text, RUN, 3), lambda s: is_candidate(s["text"]))
     return docs.select("doc_id", F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["kind"], s["end"]))).alias("base"), runs.alias("runs"))
 
 
 def levels(scanned: DataFrame) -> DataFrame:
-    """doc_id and a row per candidate that has an encoding: start, end, encoding, class, p and its level."""
-    tokens = scanned.select("doc_id", F.explode("runs").alias("s")).select("doc_id", "s.start", "s.end", "s.text")
+    """doc_id and a row per candidate: start, end, encoding, class, p and its level."""
+    tokens = scanned.select("doc_id", F.explode("runs").alias("s")).select("doc_id", "s.start", "s.text")
+    tokens = tokens.withColumn("whole", fitting("text")[0].isNotNull())
+    for letters in PARTS:
+        tokens = divided(tokens, letters)
+    tokens = tokens.withColumn("end", F.col("start") + F.char_length("text"))
     level = F.least(F.floor(-10 * F.log10("p")), F.lit(60)).cast("int")
-    size = F.col("end") - F.col("start")
+    size = F.char_length("symbols")
     kind = F.lit(0)
     for k, least in enumerate(CLASSES):
         kind = F.when(size >= least, k).otherwise(kind)
-    return battery(tokens).where("encoding is not null").withColumn("class", kind).withColumn("level", level).drop("text")
+    return battery(tokens).withColumn("class", kind).withColumn("level", level).drop("text", "symbols", "whole")
 
 
 def rejected_from(candidates: DataFrame, rate: float = 0.05) -> dict[int, int]:

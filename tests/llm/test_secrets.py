@@ -65,6 +65,24 @@ def test_random_strings_are_told_from_structured_ones(spark):
     assert sum(found[:60]) >= 54 and sum(found[60:]) == 0
 
 
+def test_every_run_is_tested(spark):
+    rng = np.random.default_rng(3)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    uuid = "-".join(drawn(digits + "abcdef", n) for n in (8, 4, 4, 4, 12))
+    small, large, key = drawn(digits + lower, 30), drawn(digits + lower.upper(), 30), drawn(digits + lower + lower.upper(), 25)
+    grouped = "-".join(drawn(digits + lower.upper(), 5) for _ in range(5))
+    # Texts and the places of the keys in them.
+    cases = [(small, [small]), (large, [large]), (uuid, [uuid]), (f"/my-app/{key}", [key]), (f"/{key}/{uuid}/x", [key, uuid]), (f"/api/some_users/of/mine/{uuid}", [uuid]), (grouped, [grouped]), ("x" + "-" * 30 + "1", [])]
+    got = check(spark, [f"see {text} there" for text, _ in cases])
+    for k, (text, keys) in enumerate(cases):
+        want = [(4 + text.index(x), 4 + text.index(x) + len(x)) for x in keys]
+        assert [(int(a), int(b)) for kind, a, b in (x.split(":") for x in got[k].spans.split(",") if x) if kind == "random"] == want, text
+    named = ["q7x2mzk9v4tj1wp8rh3ny6bc5dl0fg", "550e8400-e29b-41d4-a716-446655440000", "/my-app/Zx81kQpL0vRt7YbN3mWc5HsJ", "a1b2-c3d4-e5f6-g7h8-", "_/-" * 400 + "a+1", "a1" * 20000 + "-"]
+    docs = spark.createDataFrame([(k, x, "x", 7) for k, x in enumerate(named)], SCHEMA)
+    assert {r.doc_id: r.encoding for r in secrets.levels(secrets.scan(docs)).collect()} == dict(enumerate(["base36", "hex", "base62", "all", "all", "hex"]))
+
+
 def test_levels_follow_the_procedure(spark):
     rows = [(0, level, 1) for level in [0] * 80 + [10] * 5 + [40] * 10 + [60] * 5]
     frame = spark.createDataFrame([(c, lv) for c, lv, _ in rows], "class int, level int")
