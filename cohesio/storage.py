@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +31,25 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keeper(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
-    """Keeps frames as tables of one new folder."""
-    folder = work_dir(spark, tag)
-    return lambda df, name: saved(df, f"{folder}/{name}")
+class Tables:
+    """Keeps frames as tables of one new folder, and drops those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.names = spark, work_dir(spark, tag), set()
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
+        return saved(df, f"{self.folder}/{name}")
+
+    def drop(self, *starts: str) -> None:
+        """Deletes the tables whose names begin so."""
+        for name in [n for n in self.names if n.startswith(starts)]:
+            delete(self.spark, f"{self.folder}/{name}")
+            self.names.discard(name)
+
+
+def keeper(spark: SparkSession, tag: str) -> Tables:
+    return Tables(spark, tag)
 
 
 def delete(spark: SparkSession, path: str) -> None:
