@@ -15,15 +15,19 @@ So a pair is only lost if nothing joins its two sets; links are exact, never est
 a forest and a number of links for each node, in proportion to the rows that came in.
 
 Words are runs without ASCII white space, case kept; a text of fewer words than a shingle has is one shingle.
-Cases: null and empty texts have no shingle, each is a class of its own without links; rows with a null
-doc_id are left out; rows with one doc_id and different texts come back each; an empty table gives an empty
+Hot keys: what is joined by path, root or node are stored tables on both sides, so a hot one's rows are split at
+run time; texts without shingles pass by the joins; blocks of verified sets are bounded by bytes too.
+
+Cases: null and empty texts have no shingle, each is a class of its own without links; rows with a null doc_id
+take part and come last where ids are compared, so a class has a null class_id only if all its ids are null;
+rows with one doc_id and different texts come back each, as do repeated rows; an empty table gives an empty
 result; other columns are not read. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesio.llm import components
+from cohesio.storage import Tables
 
-Store = Callable[[DataFrame, str], DataFrame]
 COORDINATES = 64
+BLOCK_BYTES = 64 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,23 +90,28 @@ def children(paths: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.
     return row, mixed(mixed(paths[row] + FACTORS[i]) ^ (sigs[row, i].astype(np.uint64) * _M))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash and text: id and hash of the text tell rows apart, but for rows alike in both."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, node (a hash of the shingle set, null where empty) and sig of each document."""
-    import_schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+    """doc_id, hash, node (a hash of the shingle set, null where empty), its number of shingles and sig of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("shingles", pa.int64()), ("sig", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sigs = [], []
-            for x in batch.column(1):
+            nodes, counts, sigs = [], [], []
+            for x in batch.column(2):
                 s = shingles(x.as_py(), size)
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                counts.append(len(s))
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, type=pa.int64()), pa.array(sigs, type=pa.binary())], schema=import_schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, type=pa.int64()), pa.array(counts, type=pa.int64()), pa.array(sigs, type=pa.binary())], schema=schema)
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(task, "doc_id long, node long, sig binary")
+    return keyed(docs).mapInArrow(task, "doc_id long, hash long, node long, shingles long, sig binary")
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -177,13 +187,14 @@ def roots(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_pairs(rows: DataFrame, size: str, block: int) -> DataFrame:
+def block_pairs(rows: DataFrame, size: str, block: int, bytes_: str | None = None) -> DataFrame:
     """rows with bi, bj and side: a group of up to block rows is one unit, a larger one all pairs of its blocks.
 
-    A group of n rows has n / block blocks but at most 16, as long as blocks stay under 4096 rows.
+    A group of n rows has n / block blocks but at most 16, as long as blocks stay under 4096 rows and, where a
+    column tells the group's bytes, under BLOCK_BYTES.
     """
     n = F.col(size)
-    g = F.greatest(F.least(F.ceil(n / block), F.lit(16)), F.ceil(n / 4096)).cast("int")
+    g = F.greatest(F.least(F.ceil(n / block), F.lit(16)), F.ceil(n / 4096), *([F.ceil(F.col(bytes_) / BLOCK_BYTES)] if bytes_ else [])).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(5)), g).cast("int")
     rows = rows.withColumn("_g", g).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     return rows.withColumn("bi", F.least("_own", "_other")).withColumn("bj", F.greatest("_own", "_other")).withColumn("side", F.col("_own")).drop("_g", "_own", "_other")
@@ -259,36 +270,40 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, root, n, set) of the wanted nodes (doc_id, node, root, n), shingled anew from their texts."""
+    """(node, root, n, bytes, set) of the wanted nodes (doc_id, hash, node, root, n, bytes), shingled anew from their texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             out, keep = [], []
-            for k, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3))):
+            for k, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4))):
                 s = shingles(text.as_py(), size)
                 if xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == node:
                     keep.append(k), out.append(s.astype("<u8").tobytes())
             few = batch.take(pa.array(keep, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), few.column(2), pa.array(out, type=pa.binary())], names=["node", "root", "n", "set"])
+            yield pa.RecordBatch.from_arrays([*few.columns[:4], pa.array(out, type=pa.binary())], names=["node", "root", "n", "bytes", "set"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "root", "n", "text")
-    return rows.mapInArrow(task, "node long, root long, n long, set binary").dropDuplicates(["node"])
+    texts, own = keyed(docs), wanted.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    rows = texts.join(own, texts["doc_id"].eqNullSafe(own["_id"]) & (texts["hash"] == own["_hash"])).select("node", "root", "n", "bytes", "text")
+    return rows.mapInArrow(task, "node long, root long, n long, bytes long, set binary").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 1000, depth: int = 4, bucket_block: int = 512, block: int = 128) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of each document (doc_id, text).
+def join(docs: DataFrame, store: Tables, size: int = 5, threshold: float = 0.8, recall: float = 0.999, small: int = 1000, depth: int = 4, bucket_block: int = 512, block: int = 128) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, hash (of the text), class_hash and is_first of each document (doc_id, text).
 
     class_id is the least doc_id of all documents joined by links, through others too; n_links counts the other
-    nodes (different shingle sets) at the threshold or above; n_copies the documents with the same set.
+    nodes (different shingle sets) at the threshold or above; n_copies the documents with the same set; is_first
+    marks the rows with the least (doc_id, hash) of a class, which are one row and its repeats; (class_id,
+    class_hash) names the class.
     """
     sketches = store(sketch(docs, size), "sketches")
-    nodes = store(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash"))
+    nodes = store(sketches.where("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.max("shingles").alias("shingles"), F.min("sig").alias("sig")), "nodes")
     candidates, rows = None, descend(nodes, threshold, 2, runs_needed(threshold, recall, depth))
     for level in range(2, depth + 1):
         rows = store(rows, f"paths-{level}")
-        counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        counts = store(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"counts-{level}")
         shared = rows.join(counts, "path").join(nodes.select("node", "sig"), "node")
         if level < depth:
             shared = store(shared, f"buckets-{level}")
@@ -298,14 +313,19 @@ def join(docs: DataFrame, store: Store, size: int = 5, threshold: float = 0.8, r
         if level == depth or shared.where(F.col("n") > small).isEmpty():
             break
         rows = descend(shared.where(F.col("n") > small), threshold, 1)
-    likely_roots = store(components.connected(candidates, store, "likely"), "likely")
-    sizes = likely_roots.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = likely_roots.join(sizes, "root").join(nodes.select("node", "doc_id"), "node")
-    sets = store(sets_of(docs, wanted.select("doc_id", "node", "root", "n"), size), "sets")
-    links = store(verified(block_pairs(sets, "n", block), threshold), "links")
-    true_roots = components.connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")), store, "true")
+    roots_ = store(components.connected(candidates, store, "likely").join(nodes.select("node", "first", "shingles"), "node"), "roots")
+    store.drop("paths-", "counts-", "buckets-", "likely-")
+    sizes = store(roots_.groupBy("root").agg(F.count("*").alias("n"), (F.sum("shingles") * 8).alias("bytes")), "sizes")
+    wanted = roots_.join(sizes, "root").select("first.doc_id", "first.hash", "node", "root", "n", "bytes")
+    sets = store(sets_of(docs, wanted, size), "sets")
+    links = store(verified(block_pairs(sets, "n", block, "bytes"), threshold), "links")
+    true_roots = store(components.connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")), store, "true"), "classes")
+    store.drop("sets", "true-")
     numbers = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    labelled = nodes.select("node", "doc_id", "copies").join(true_roots, "node", "left").join(numbers, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    known = labelled.join(firsts, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    return sketches.select("doc_id", "node").join(known, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    labelled = store(nodes.select("node", "first", "copies").join(true_roots, "node", "left").join(numbers, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    firsts = store(labelled.groupBy("root").agg(F.min("first").alias("class")), "firsts")
+    known = labelled.join(firsts, "root").select("node", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("hash") == F.col("class.hash"))
+    found = sketches.where("node is not null").join(known, "node").select("doc_id", F.col("class.doc_id").alias("class_id"), "n_links", "n_copies", "hash", F.col("class.hash").alias("class_hash"), is_first.alias("is_first"))
+    none = sketches.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "hash", F.col("hash").alias("class_hash"), F.lit(True).alias("is_first"))
+    return found.unionByName(none)

@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 from cohesio.llm import ngram_join, packing, pii, quality, secrets, sentence_pieces, shared, token_counts, token_files, va_search, warc
 
 
-def _store(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
-    """Keeps frames as tables of one new folder under the shared one."""
-    folder = shared.work_dir(spark, tag)
-    return lambda df, name: shared.saved(df, f"{folder}/{name}")
-
-
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), _store(spark, "secrets"))
+    return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared.Tables(spark, "secrets"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are UTF-8 bytes and an end mark, clusters are equal texts."""
+    """Lengths are UTF-8 bytes and an end mark, clusters the classes of the n-gram Jaccard join."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packing.packed(docs, F.octet_length("text") + 1, F.xxhash64("text"))
+    store = shared.Tables(spark, "packing")
+    joined = ngram_join.join(docs, store)
+    classes = store(joined.where("n_links > 0 or n_copies > 1").select("doc_id", "hash", "class_id", "class_hash").distinct(), "classes")
+    lengths = docs.select("doc_id", F.xxhash64("text").alias("hash"), (F.octet_length("text") + 1).alias("bytes"), "source")
+    same = classes.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    rows = lengths.join(same, lengths["doc_id"].eqNullSafe(same["_id"]) & (lengths["hash"] == same["_hash"]), "left")
+    cluster = F.when(F.col("class_hash").isNotNull(), F.xxhash64("class_id", "class_hash")).otherwise(F.col("hash"))
+    return packing.packed(store(rows.select(lengths["doc_id"], "source", "bytes", cluster.alias("cluster")), "rows"), F.col("bytes"), F.col("cluster"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +54,13 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), _store(spark, "ngram-join"))
+    found = ngram_join.join(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared.Tables(spark, "ngram-join"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pii.replaced(docs.select("doc_id", "text"), _store(spark, "pii"))
+    return pii.replaced(docs.select("doc_id", "text"), shared.Tables(spark, "pii"), shared.secret_key(spark))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +131,8 @@ with p as (select page_id, coalesce(html, '') html from pages),
 d as (select page_id, octet_length(encode(html)) payload_bytes, sha256(encode(html)) payload_digest from p),
 f as (select payload_digest, min(page_id) first from d where payload_bytes >= 100 group by 1)
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end record_type,
-  case when payload_bytes >= 100 and page_id > first then first end refers_to
+  case when payload_bytes >= 100 and (page_id > first or page_id is null and first is not null) then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and (page_id > first or page_id is null) then first end refers_to
 from d left join f using (payload_digest)
 """,
     "op6_exact_top_k": """
@@ -143,23 +145,25 @@ from s qualify "rank" <= 20
 """,
     "op8_ngram_join": r"""
 with recursive t as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words
-  from documents where doc_id is not null),
+  from documents),
 g as (select r, doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) i from t where len(words) > 0),
 s as (select distinct r, doc_id, array_to_string(words[i:i + 4], ' ') g from g),
 k as (select r, doc_id, md5(string_agg(g, chr(10) order by g)) node, count(*) n from s group by all),
-nodes as (select node, min(doc_id) doc_id, min(n) n, count(*) copies, min(r) r from k group by node),
+nodes as (select node, coalesce(min(doc_id), 9223372036854775807) doc_id, min(n) n, count(*) copies, min(r) r from k group by node),
 q as (select node, n, g from nodes join s using (r)),
 e as (select x.node a, y.node b from q x join q y on x.g = y.g and x.node < y.node
   group by x.node, y.node having 5 * count(*) >= 4 * (min(x.n) + min(y.n) - count(*))),
 l as (select a, b from e union all select b, a from e),
 c(node, root) as (select node, doc_id from nodes union select l.b, c.root from c join l on l.a = c.node),
-m as (select node, min(root) class_id from c group by node),
+m as (select node, nullif(min(root), 9223372036854775807) class_id from c group by node),
 d as (select a node, count(*) n_links from l group by a)
-select t.doc_id, coalesce(class_id, t.doc_id) class_id, coalesce(n_links, 0) n_links, coalesce(copies, 1) n_copies
+select t.doc_id, case when k.node is null then t.doc_id else class_id end class_id, coalesce(n_links, 0) n_links, coalesce(copies, 1) n_copies
 from t left join k using (r) left join m using (node) left join d using (node) left join nodes using (node)
 """,
     "op10_quality_rules": r"""
-with t as (select row_number() over () r, doc_id, coalesce(source, '') host, coalesce(text, '') text from documents),
+with t as (select row_number() over () r, doc_id, coalesce(source, '') source, coalesce(text, '') text,
+  regexp_extract(coalesce(source, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]+)', 1) named,
+  case when named <> '' then lower(named) else coalesce(source, '') end host from documents),
 w as (select r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines from t),
 g as (select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] g
@@ -174,9 +178,10 @@ f as (select *, (n_words < 50)::int a, (100 * n_repeat_words > 50 * n_words)::in
     (10 * n_dup_lines > 3 * n_lines)::int d, (word_chars < 2 * n_words or word_chars > 15 * n_words)::int e from m),
 h as (select host, rule, count(*) n, sum(x) k from (
   select host, unnest(['a', 'b', 'c', 'd', 'e']) rule, unnest([a, b, c, d, e]) x from f) group by 1, 2),
-s as (select rule, avg(k / n) mean, var_pop(k / n) var from h group by 1),
-v as (select host, max(case when var <= 1e-12 then mean
-  else (k + mean * (mean * (1 - mean) / var - 1)) / (n + mean * (1 - mean) / var - 1) end) > 0.5 bad
+s as (select rule, sum(k) / sum(n) p, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) room,
+    case when p > 0 and p < 1 and room > 1e-9 * sum(n) then ((sum(k * k / n) - p * sum(k)) / (p * (1 - p)) - (count(*) - 1)) / room else 0 end between_
+  from h group by 1),
+v as (select host, max(case when between_ <= 1e-9 then p else (k + p * (1 / least(between_, 1) - 1)) / (n + 1 / least(between_, 1) - 1) end) > 0.5 bad
   from h join s using (rule) group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (a = 1 or b = 1) base_failed,
   not (a = 1 or b = 1) and not (bad and greatest(a, b, c, d, e) = 1) kept

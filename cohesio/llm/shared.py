@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
-from cohesio.storage import delete, saved, shared_dir, work_dir
+from pyspark.sql import SparkSession
 
-__all__ = ["Committed", "delete", "file_system", "read_bytes", "saved", "shared_dir", "work_dir"]
+from cohesio.storage import Tables, delete, saved, shared_dir, work_dir
+
+__all__ = ["Committed", "Tables", "delete", "file_system", "read_bytes", "saved", "secret_key", "shared_dir", "work_dir"]
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key in spark.cohesio.secret; where it is unset, one drawn for this run alone, whose surrogates no other run shares."""
+    return spark.conf.get("spark.cohesio.secret", None) or secrets.token_hex(32)
 
 
 def file_system(uri: str):

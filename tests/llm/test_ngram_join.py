@@ -9,8 +9,7 @@ SCHEMA = "doc_id long, text string, class_id string, node long"
 
 
 def store(spark):
-    folder = shared.work_dir(spark, "t")
-    return lambda df, name: shared.saved(df, f"{folder}/{name}")
+    return shared.Tables(spark, "t")
 
 
 def brute(rows, size=5, threshold=0.8):
@@ -55,7 +54,9 @@ def corpus(seed, groups=12, common=True):
 def test_join_matches_brute_force(spark, options):
     rows = corpus(len(options))
     got = ngram_join.join(spark.createDataFrame([*rows, (None, "null id", "c", 1)], SCHEMA), store(spark), **options).collect()
-    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got} == brute(rows) and len(got) == len(rows)
+    found = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got}
+    assert found.pop(None) == (None, 0, 1) and found == brute(rows) and len(got) == len(rows) + 1
+    assert all(r.is_first == (r.class_id == r.doc_id) for r in got)
 
 
 def test_repeated_rows_and_no_rows(spark):
@@ -65,6 +66,22 @@ def test_repeated_rows_and_no_rows(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA), store(spark)).count() == 0
 
 
+def test_half_in_one_group_and_half_empty(spark):
+    """One group of near copies holds half of the rows, a third of them exact copies; the other half has no words."""
+    words = [f"w{k}" for k in range(120)]
+    near = lambda k: " ".join(w if j != k % 40 else f"x{k}" for j, w in enumerate(words))
+    rows = [(k, near(0) if k % 3 == 0 else near(k), "c", 1) for k in range(300)] + [(1000 + k, (None, "", " \n")[k % 3], "c", 1) for k in range(300)]
+    rows += [(None, near(7), "c", 1), (None, near(7), "c", 1), (None, "an unrelated text of no id at all", "c", 1)]
+    got = ngram_join.join(spark.createDataFrame(rows, SCHEMA), store(spark), block=32, bucket_block=16).collect()
+    want = brute([(k if r[0] is None else r[0], *r[1:]) for k, r in enumerate(rows, 10**9)])
+    null = [r for r in got if r.doc_id is None]
+    found = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in got if r.doc_id is not None}
+    assert len(got) == len(rows) and found == {k: v for k, v in want.items() if k < 10**9}
+    assert sorted((r.class_id, r.n_links, r.n_copies) for r in null if r.class_id is not None) == [want[10**9 + 600]] * 2
+    assert [(r.class_id, r.n_links, r.n_copies, r.is_first) for r in null if r.class_id is None] == [(None, 0, 1, True)]
+    assert sum(r.is_first for r in got) == 302 and [r.doc_id for r in got if r.is_first and r.doc_id is not None and r.doc_id < 1000] == [0]
+
+
 def test_overlaps_and_blocks():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
