@@ -60,3 +60,13 @@ def test_packed(spark):
             same = [t for t in same if t is not None]
             assert len(same) == len(set(same))
     assert packing.packed(docs.limit(0), F.octet_length("text"), F.xxhash64("text")).count() == 0
+
+
+def test_bins_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(k % 50, "x" * (k % 7), f"s{k % 3}", k) for k in range(400)] + [(1, "same", "s1", 0), (1, "same", "s2", 0), (1, "same", None, 0)] + [(None, "hot row", "h", 0)] * 500
+    pack = lambda some: sorted(map(str, packing.packed(spark.createDataFrame(some, "doc_id long, text string, source string, x long").repartition(3), F.octet_length("text"), F.xxhash64("text"), 40, 100).collect()))
+    first = pack(rows)
+    assert first == pack(rows[::-1]) and len(first) == len(rows)
+    # The hot row's portions go to several shards.
+    hot = Counter(r.bin_id >> 24 for r in packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string, x long"), F.octet_length("text"), F.xxhash64("text"), 40, 100).where("doc_id is null").collect())
+    assert len(hot) > 2 and max(hot.values()) <= 4 * packing.PORTION
