@@ -7,7 +7,7 @@ crosses a boundary counts where most of its bytes lie, and in the earlier sectio
 document's sections, with what lies outside all of them, add up to its tokens.
 
 Cases: a null or empty text has no sections by lines and thus no rows; tokens outside all given sections
-count in section -1; repeated rows come back each; rows with a null doc_id are left out; an empty table gives
+count in section -1; repeated rows come back each; a null doc_id stays null; an empty table gives
 an empty result; other columns are not read. Sections must be ascending and must not overlap.
 """
 
@@ -60,7 +60,7 @@ def counts(docs: DataFrame, sections: str | None = None, tokenizer: str | None =
                 batch = whole.slice(at, 2000)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 given = batch.column(2).to_pylist() if sections else [None] * len(texts)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                keys, out = [], [[], [], [], []]
                 for key, text, ids, own in zip(batch.column(0).to_pylist(), texts, encoder.encode(texts), given):
                     raw = text.encode()
                     if not raw and not own:
@@ -81,10 +81,11 @@ def counts(docs: DataFrame, sections: str | None = None, tokenizer: str | None =
                     lo = 0 if n[0] else 1
                     numbers = np.arange(lo - 1, len(starts))
                     none = [-1] if lo == 0 else []
-                    for column, values in zip(out, (np.full(len(numbers), key if key is not None else 0), numbers, np.concatenate([none, chars[starts]]), np.concatenate([none, chars[ends]]), n[lo:])):
+                    keys += [key] * len(numbers)
+                    for column, values in zip(out, (numbers, np.concatenate([none, chars[starts]]), np.concatenate([none, chars[ends]]), n[lo:])):
                         column.append(values)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["doc_id", "section", "start", "end", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), *(pa.array(np.concatenate(c).astype(np.int64)) for c in out)], names=["doc_id", "section", "start", "end", "n_tokens"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", *([sections] if sections else []))
+    rows = docs.select("doc_id", "text", *([sections] if sections else []))
     return rows.mapInArrow(task, "doc_id long, section long, start long, end long, n_tokens long")

@@ -39,6 +39,7 @@ def test_counts_by_lines(spark):
         want = brute(text, lines(text))
         assert want[0] == 0
         assert own == sorted([(n, a, b, int(want[n + 1])) for n, (a, b) in enumerate(lines(text))] * (2 if k == 3 else 1)), text
+    assert [(r.section, r.n_tokens) for r in got if r.doc_id is None] == [(0, int(brute("null id", lines("null id"))[1]))]
     assert token_counts.counts(docs.limit(0)).count() == 0
 
 
