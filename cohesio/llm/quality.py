@@ -4,14 +4,15 @@ Rules of a document: ``short`` (under 50 words), ``repeats`` (over half of its w
 windows), ``symbols`` (over one of ``#*$%&|<>`` for ten words), ``lines`` (over three in ten lines repeat an
 earlier one) and ``lengths`` (mean word length outside 2 to 15). The first two are the base: either rejects.
 
-Host rules: failures of each rule are summed by host, the failure rates of all hosts give a beta prior by
-the method of moments, and a host's rate shrinks towards it: (failures + a) / (documents + a + b). A host
-where a shrunk rate is over one half is rejected; of it only documents that fail no rule are kept. Clean
-documents thus stay, whatever their host.
-
-Cases: a null or empty text has no words and fails; a null host counts as the host ''; with one host, or
-hosts all alike, the prior is the common rate and every host has it; repeated rows count each; an empty
-table gives an empty result; other columns are ignored.
+Host rules: failures of each rule are summed by domain (that of the column source where it is a URL, else its
+value), and a beta-binomial model is fitted to all domains by moments weighted by their documents: the spread of
+rates beyond what chance gives at those sizes tells the prior. A domain's rate shrinks towards the common one:
+(failures + a) / (documents + a + b). A domain where a shrunk rate is over one half is rejected; of it only
+documents that fail no rule are kept. Clean documents thus stay, whatever their domain. Where the spread is no
+more than chance gives, or can't be told (one domain, or one document each), every domain has the common rate.
+
+Cases: a null or empty text has no words and fails; a null source counts as the domain ''; repeated rows
+count each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("short", "repeats", "symbols", "lines", "lengths")
 #: White space between words, and the symbols that are counted: fixed values.
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: A URL's domain, without user, port and www.
+URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]+)"
 
 SALTS = 64
 
@@ -62,6 +65,13 @@ def measure_text(text: str) -> tuple[int, int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeat_words(words)
 
 
+def domain(source: Column) -> Column:
+    """The domain of a URL, lower case and without www., of any other value that value; null as ''."""
+    source = F.coalesce(source, F.lit(""))
+    found = F.regexp_extract(source, URL, 1)
+    return F.when(found != "", F.lower(found)).otherwise(source)
+
+
 def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The keys, host and MEASURES of every document (columns text and source), and the rules it fails."""
 
@@ -70,7 +80,7 @@ def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
             found = np.array([measure_text(x.as_py() or "") for x in batch.column(len(keys) + 1)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], *(pa.array(found[:, k].copy()) for k in range(len(MEASURES)))], names=[*keys, "host", *MEASURES])
 
-    rows = docs.select(*keys, F.coalesce("source", F.lit("")).alias("host"), "text")
+    rows = docs.select(*keys, domain(F.col("source")).alias("host"), "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     found = rows.mapInArrow(task, kinds + "".join(f", {m} long" for m in MEASURES))
     fails = {
@@ -83,19 +93,37 @@ def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
     return found.select("*", *(F.expr(fails[r]).alias(f"fails_{r}") for r in RULES))
 
 
+def prior_weight(hosts: int, docs: float, squares: float, failed: float, spread: float) -> float | None:
+    """a + b of the beta prior, None where the common rate is all there is.
+
+    hosts, the sums of their documents n and of n * n, of failures k and of k * k / n.
+    """
+    if not docs or not 0 < failed < docs:
+        return None
+    rate = failed / docs
+    room = docs - squares / docs - (hosts - 1)  # 0 where each has one document
+    if room <= 1e-9 * docs:
+        return None
+    # The share of the variance that lies between hosts.
+    between = ((spread - rate * failed) / (rate * (1 - rate)) - (hosts - 1)) / room
+    return None if between <= 1e-9 else 1 / min(between, 1.0) - 1
+
+
 def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
     """host, n_docs, the shrunk failure rate of each rule, and host_rejected."""
     counts = measured.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(f"fails_{r}").cast("long")).alias(r) for r in RULES))
-    rates = counts.agg(*(x for r in RULES for x in (F.avg(F.col(r) / F.col("n_docs")).alias(f"mean_{r}"), F.var_pop(F.col(r) / F.col("n_docs")).alias(f"var_{r}"))))
-
-    prior = rates.first()  # ten numbers, whatever the data
+    n = F.col("n_docs").cast("double")
+    sums = [F.sum(F.col(r)).alias(f"k_{r}") for r in RULES] + [F.sum(F.col(r) * F.col(r) / n).alias(f"kk_{r}") for r in RULES]
+    found = counts.agg(F.count("*").alias("hosts"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), *sums).first()  # 13 numbers, whatever the data
 
     def shrunk(r: str):
-        mean, var = prior[f"mean_{r}"] or 0.0, prior[f"var_{r}"] or 0.0
-        if var <= 1e-12:
+        if not found["hosts"]:
+            return F.lit(0.0).alias(f"rate_{r}")
+        mean = found[f"k_{r}"] / found["n"]
+        weight = prior_weight(found["hosts"], found["n"], found["nn"], float(found[f"k_{r}"]), found[f"kk_{r}"])
+        if weight is None:
             return F.lit(mean).alias(f"rate_{r}")
-        weight = mean * (1 - mean) / var - 1  # a + b of the prior
-        return ((F.col(r) + mean * weight) / (F.col("n_docs") + weight)).alias(f"rate_{r}")
+        return ((F.col(r) + mean * weight) / (n + weight)).alias(f"rate_{r}")
 
     both = counts.select("host", "n_docs", *map(shrunk, RULES))
     return both.withColumn("host_rejected", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > limit)
