@@ -1,16 +1,18 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by range of page_id, so a shard holds a range and its files depend on the input alone.
-Each record is a gzip member of its own; a file ends once its compressed size reaches a limit, and the next
-one starts with a fresh warcinfo record. Ids, lengths and digests of every header are computed anew. A file
-gets its name when whole (before that it has a temporary one), and the manifest table, which Spark commits,
+Records are sorted by range of page_id. The cuts between shards follow from exact sums of the pages' sizes (see
+``ranges``), so the files depend on the pages alone, not on their partitioning, and a page_id with very many records
+has several units. Each record is a gzip member of its own; a file ends once its compressed size reaches a limit,
+and the next one starts with a fresh warcinfo record. Ids, lengths and digests of every header are computed anew. A
+file gets its name when whole (before that it has a temporary one), and the manifest table, which Spark commits,
 names the files of an archive. A task that runs again writes the same names and bytes.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id is a
-response, the others revisit it and carry no payload; smaller ones are all responses.
+response, the others revisit it and carry no payload; smaller ones are all responses. A record's id is made of
+page_id, payload digest and, where both are repeated, a number. Targets are percent-encoded where a URI has to be.
 
-Cases: null html is an empty payload; a null url an empty target; a null page_id is left out; equal
-page_ids are written each; an empty table gives an empty archive; other columns are not read.
+Cases: null html is an empty payload; a null url an empty target; a null page_id is larger than all others, and
+a record of its own; equal page_ids are written each; an empty table gives an empty archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,26 +21,32 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohesio.llm import shared
+from cohesio.llm import ranges, shared
 
 DATE = "2000-01-01T00:00:00Z"
-FILES = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
+#: Bytes that a record's headers are taken to have, and what stands in a URI as it is.
+HEADERS, IN_URI = 512, "!#$%&'()*+,/:;=?@[]~"
+FILES = pa.schema([("unit", pa.int64()), ("roll", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def with_marks(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, html of every page, and a row with payload_digest and refers_to for each page that is a revisit."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    digests = rows.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("payload_digest"))
+def sizes(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """page_id, bytes and, of payloads of min_bytes or more, payload_digest of every page."""
+    n = F.octet_length(F.coalesce("html", F.lit("")))
+    return pages.select("page_id", n.alias("bytes"), F.when(n >= min_bytes, F.sha2("html", 256)).alias("payload_digest"))
+
+
+def revisits(light: DataFrame, store: shared.Tables) -> DataFrame:
+    """page_id, payload_digest and refers_to of the pages that are revisits."""
+    digests = light.where("payload_digest is not null").select("page_id", "payload_digest")
     # Few digests have copies: only those, with the page that keeps the payload, meet the pages again.
-    first = digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = digests.join(first, "payload_digest").where("page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to"))
-    return rows.unionByName(later, allowMissingColumns=True)
+    first = store(digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "first")
+    return digests.join(first, "payload_digest").where("page_id is null or page_id > first").groupBy("page_id", "payload_digest").agg(F.min("first").alias("refers_to"))
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -48,44 +56,55 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return pressed.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pressed.flush()
 
 
-def page_record(page_id: int, url: str, html: str, refers_to: int | None) -> bytes:
+def name_of(page_id: int | None, digest: str, number: int = 0) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:{digest[:32]}{f':{number}' if number else ''}>"
+
+
+def page_record(page_id: int | None, number: int, url: str, html: str, refers_to: int | None) -> bytes:
     payload = html.encode()
-    url = "".join(url.split())
-    fields = [("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}")]
+    digest = hashlib.sha256(payload).hexdigest()
+    fields = [("WARC-Record-ID", name_of(page_id, digest, number)), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url, safe=IN_URI)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields.append(("Content-Type", "application/http;msgtype=response"))
     if refers_to is None:
         return record("response", fields, http + payload)
-    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name_of(refers_to, digest))]
     return record("revisit", fields, http)
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes: int = 100) -> DataFrame:
+def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes: int = 100, unit_bytes: int = 16 << 20) -> DataFrame:
     """Writes an archive of pages (page_id, url, html) under folder; returns its manifest, a row per file."""
+    store = shared.Tables(pages.sparkSession, "warc-cuts")
+    light = store(sizes(pages, min_bytes), "light")
+    cuts = ranges.cut(light.select(F.col("page_id").alias("key"), (F.col("bytes") + HEADERS).alias("weight")), store, "pages", unit_bytes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, roll, out, files, marks = TaskContext.get().partitionId(), 0, None, [], {}
+        now, roll, out, files, mark, last, number = None, 0, None, [], (None, None, None), None, 0
 
         def close() -> None:
             out.commit()
-            files.append({"shard": shard, "roll": roll, "path": path, "n_records": n, "n_bytes": out.size, "sha256": whole.hexdigest()})
+            files.append({"unit": now, "roll": roll, "path": path, "n_records": n, "n_bytes": out.size, "sha256": whole.hexdigest()})
 
         try:
             for batch in batches:
-                for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                    if digest is not None:  # a mark comes before the pages of its page_id
-                        marks = {k: v for k, v in marks.items() if k[0] == page_id} | {(page_id, digest): refers_to}
+                for page_id, url, html, digest, refers_to, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                    if html is None:  # a mark comes right before its pages
+                        mark = (page_id, digest, refers_to)
                         continue
-                    refers_to = marks.get((page_id, hashlib.sha256(html.encode()).hexdigest())) if marks else None
+                    refers_to = mark[2] if mark[:2] == (page_id, digest) else None
+                    number = number + 1 if last == (page_id, digest, unit) else 0
+                    last = (page_id, digest, unit)
+                    if unit != now:
+                        if out is not None:
+                            close()
+                        now, roll, out = unit, 0, None
                     if out is None:
-                        path = f"{folder}/pages-{shard:06d}-{roll:04d}.warc.gz"
+                        path = f"{folder}/pages-{unit:06d}-{roll:04d}.warc.gz"
                         out, n, whole = shared.Committed(path), 0, hashlib.sha256()
-                        about = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{shard}-{roll}')}>"), ("WARC-Date", DATE), ("WARC-Filename", path.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+                        about = record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{unit}-{roll}')}>"), ("WARC-Date", DATE), ("WARC-Filename", path.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                         out.write(about)
                         whole.update(about)
-                    data = page_record(page_id, url, html, refers_to)
+                    data = page_record(page_id, number, url, html, refers_to)
                     out.write(data)
                     whole.update(data)
                     n += 1
@@ -102,9 +121,15 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64_000_000, min_bytes
             yield pa.RecordBatch.from_pylist(files, schema=FILES)
 
     # Pages and marks go through one exchange, so html is moved once.
-    ordered = with_marks(pages, min_bytes).repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("payload_digest").desc_nulls_last(), "url", "html")
-    rows = ordered.mapInArrow(task, "shard long, roll long, path string, n_records long, n_bytes long, sha256 string")
-    return shared.saved(rows, f"{folder}/manifest")
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
+    both = rows.unionByName(revisits(light, store), allowMissingColumns=True)
+    order = (F.col("page_id").asc_nulls_last(), F.col("payload_digest"), F.col("refers_to").asc_nulls_last(), F.col("url"))
+    ordered = ranges.dealt(both, cuts, F.col("page_id"), F.xxhash64("payload_digest"), *order)
+    rows = ordered.mapInArrow(task, "unit long, roll long, path string, n_records long, n_bytes long, sha256 string")
+    manifest = shared.saved(rows, f"{folder}/manifest")
+    store.drop("light", "first")
+    return manifest
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -143,7 +168,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     if fields["WARC-Type"] == "warcinfo":
                         continue
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    number = lambda name: int(fields[name].removeprefix("<urn:page:").removesuffix(">"))
+                    number = lambda name: None if (x := fields[name].split(":")[2]) == "null" else int(x)
                     revisit = fields["WARC-Type"] == "revisit"
                     size = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
