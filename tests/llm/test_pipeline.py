@@ -60,6 +60,19 @@ def test_clashing_columns_and_nulls(spark):
     assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() >= 14
 
 
+def test_near_duplicates_decide_by_row(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choices("abcdefghijk", k=6)) for _ in range(90))
+    a, z, y, n = text(), text(), text(), text()
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, z, "en", "s", 1), (7, z + " more", "en", "s", 1), (9, y, "en", "s", 1), (9, y, "en", "s", 1), (9, y, "en", "r", 1)]
+    rows += [(None, n, None, None, None), (None, n, None, None, None), (None, n + " more", None, None, None), (None, text(), None, None, None), (2, None, "en", "s", 1), (2, None, "en", "s", 1)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    ids = lambda want: sorted(r.doc_id for r in found if r.text == want)
+    found = got.collect()
+    assert (ids(a), ids(z), ids(y)) == ([3], [5], [9]) and [r.source for r in found if r.text == y] == ["r"]
+    assert sum((r.text or "").startswith(n) for r in found) == 1 and len(found) == 7 and sum(r.text is None for r in found) == 2
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame(documents(), SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
