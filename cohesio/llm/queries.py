@@ -45,7 +45,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return va_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+    return va_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, shared.Tables(spark, "va-search"))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,12 @@ c as (select r, start, start + n stop, case {kind} end class, least(floor(-10 *
 g as (select class, level, count(*) k from c group by all),
 u as (select class, level, sum(k) over (partition by class order by level desc) reached, sum(k) over (partition by class) total from g),
 d as (select class, min(level) least_level from u where pow(10, -level / 10) <= 0.05 * reached / total group by class),
-random as (select c.r, 3 kind, start, stop from c left join d using (class) where level < coalesce(least_level, 61)
+tops as (select class, unnest(range(1, 62)) top from (select distinct class from g)),
+told as (select class, top, sum(k) filter (level < top) reported, (1 + coalesce(sum(k) filter (level < 3), 0)) / (1 - pow(10, -0.3)) keys
+  from tops join g using (class) group by all),
+below as (select class, max(top) top from told left join d using (class)
+  where top <= coalesce(least_level, 61) and reported - least(reported, keys * (1 - pow(10, -top / 10))) <= 0.5 * reported group by class),
+random as (select c.r, 3 kind, start, stop from c join below using (class) where level < top
   and not exists (select 1 from base where base.r = c.r and base.start <= c.start and base.stop >= c.stop)),
 w as (select *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop s from (select * from base union all select * from random)),
 o as (select r, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex, count(*) filter (kind = 3) n_random,
@@ -136,11 +141,11 @@ select page_id, payload_bytes, payload_digest,
 from d left join f using (payload_digest)
 """,
     "op6_exact_top_k": """
-with v as (select vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)) x from embeddings
+with v as (select row_number() over () r, vec_id, list_transform(embedding::double[], lambda x: floor(64 * x)) x from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::bigint score
-  from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x))
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score
+s as (select q.r, q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::bigint score
+  from v q, v c where q.vec_id % 20 = 0 and q.r <> c.r and len(q.x) = len(c.x))
+select query_id, row_number() over (partition by r order by score desc, vec_id nulls last)::int "rank", vec_id, score
 from s qualify "rank" <= 20
 """,
     "op8_ngram_join": r"""

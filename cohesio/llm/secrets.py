@@ -10,12 +10,21 @@ longest parts without ``/_-``, then those without ``/``, are candidates of their
 a digit and a letter, and so is what lies between. A candidate that fits no encoding even then (a UUID) is tested
 by its letters and digits, or, if they are fewer than 20, as a string over all 66 characters. Under "the symbols are drawn evenly and
 independently" it gets three p-values: chi-squared of the symbol counts, runs above and below the middle of
-the alphabet, and the correlation of neighbours. Fisher's rule combines them. Within each length class the
-Benjamini-Hochberg procedure then rejects randomness for structured strings at a false-discovery rate, so
-that at most that share of the dismissed strings are random keys; longer classes, where the tests are
-stronger, thus dismiss more. What isn't rejected, and doesn't lie within a base span, is a span of kind
-``random``. P-values are rounded up to tenths of a decade, so a class needs counts of 61 levels only, and
-the procedure is exact for the rounded values at any size of the corpus.
+the alphabet, and the correlation of neighbours. Fisher's rule combines them. Two rates of false decisions are then held by length
+class, as the tests are stronger on longer strings:
+
+* what is dismissed: the Benjamini-Hochberg procedure rejects randomness for structured strings, so that at most
+  ``rate`` of the dismissed strings are random keys;
+* what is reported: keys have even p-values, so those above one half tell how many there are (Storey's estimate, one
+  added), and thus how many of the strings that would be reported aren't keys. Levels are left out, those of the
+  smallest p-values first, until these are at most ``report_rate`` of the reported; a class where they never are
+  reports nothing.
+
+What stays, and doesn't lie within a base span, is a span of kind ``random``. P-values are rounded up to tenths of a
+decade, so a class needs counts of 61 levels only, and the procedures are exact for the rounded values at any size of
+the corpus.
+
+Places are running sums over rows of matches, so a text costs in proportion to its matches.
 
 Cases: a null or empty text has no spans; equal texts get equal spans; an empty table gives an empty result;
 other columns are ignored. Places are code points, the end is exclusive.
@@ -23,9 +32,11 @@ other columns are ignored. Places are code points, the end is exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohesio.storage import Tables
+
 #: The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -52,27 +63,22 @@ ALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 LEAST = 20
 #: Length classes begin at these lengths, in symbols.
 CLASSES = (20, 28, 40, 64)
-SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, least_group: int | None = None) -> Column:
-    """Spans of all matches: places follow from the lengths of the matches and of what lies between them."""
+def pieces(text: Column, pattern: str, kind: int) -> Column:
+    """Of all matches: kind, number, characters before it since the last one, its own, and those of group 1; candidates' text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least_group else found
-    pairs = F.arrays_zip(found.alias("m"), between.alias("b"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == 0 else found
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("b"), found.alias("m"), value.alias("v")), lambda p: p["m"].isNotNull())
+    one = lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.char_length(p["b"]).alias("gap"), F.char_length(p["m"]).alias("size"), F.char_length(p["v"]).alias("value"), (F.when(is_candidate(p["m"]), p["m"]) if kind == 3 else F.lit(None).cast("string")).alias("text"))
+    return F.transform(pairs, one)
 
-    def step(acc, p):
-        begin = acc["at"] + p["b"]
-        end = begin + F.char_length(p["m"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["m"].alias("text")))
-        if least_group:
-            one = F.when(F.char_length(p["v"]) >= least_group, one).otherwise(F.array().cast(SPAN))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), one).alias("out"))
 
-    all_found = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, F.coalesce(all_found, F.array().cast(SPAN))).otherwise(F.array().cast(SPAN))
+def placed(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (keys, i, gap, size) with start and end in the keys' text."""
+    so_far = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
+    return ends.withColumn("start", F.col("end") - F.col("size")).drop("i", "gap", "size")
 
 
 def tail(z: Column) -> Column:
@@ -101,12 +107,14 @@ def divided(tokens: DataFrame, letters: str) -> DataFrame:
     """Rows that aren't ``whole`` give way to their longest parts of these letters, which are, and to what lies between."""
     own = rf"[{letters}]"
     pattern = rf"(?<!{own})(?={own}*[0-9])(?={own}*[A-Za-z]){own}{{{LEAST},}}+"
-    parts = spans(F.col("text"), pattern, 3)
-    row = lambda at, text, whole: F.struct(at.alias("at"), text.alias("text"), whole.alias("whole"))
-    between = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(parts, lambda s: s["end"])), F.split("text", pattern, -1), lambda at, text: row(at, text, F.lit(False)))
-    found = F.concat(F.transform(parts, lambda s: row(s["start"], s["text"], F.lit(True))), F.filter(between, lambda s: is_candidate(s["text"])))
-    some = F.when(F.col("whole"), F.array(row(F.lit(0), F.col("text"), F.lit(True)))).otherwise(found)
-    return tokens.select("doc_id", "start", F.explode(some).alias("s")).select("doc_id", (F.col("start") + F.col("s.at")).alias("start"), "s.text", "s.whole")
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    each = tokens.where("not whole").select("row", F.col("start").alias("token"), F.posexplode(F.arrays_zip(F.split("text", pattern, -1).alias("b"), found.alias("m"))).alias("i", "p"))
+    size = F.coalesce(F.char_length("p.m"), F.lit(0))
+    parts = placed(each.select("row", "token", "i", F.char_length("p.b").alias("gap"), size.alias("size"), F.col("p.b").alias("between"), F.col("p.m").alias("part")), "row", "token")
+    at = F.col("token") + F.col("start")
+    inside = parts.where("part is not null").select("row", at.alias("start"), F.col("part").alias("text"), F.lit(True).alias("whole"))
+    outside = parts.where(is_candidate(F.col("between"))).select("row", (at - F.char_length("between")).alias("start"), F.col("between").alias("text"), F.lit(False).alias("whole"))
+    return tokens.where("whole").unionByName(inside).unionByName(outside)
 
 
 def battery(tokens: DataFrame) -> DataFrame:
@@ -135,16 +143,21 @@ def battery(tokens: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans and candidate spans (with length class and p's level) of each text; no text is kept."""
+    """doc_id, row (a number of its own) and the pieces of each text; no text is kept but that of candidates."""
     text = F.coalesce("text", F.lit(""))
-    base = F.concat(spans(text, ASSIGN, 0, 6), spans(text, ACCESS, 1), spans(text, HEX, 2))
-    runs = F.filter(spans(text, RUN, 3), lambda s: is_candidate(s["text"]))
-    return docs.select("doc_id", F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["kind"], s["end"]))).alias("base"), runs.alias("runs"))
+    found = F.concat(*(pieces(text, pattern, kind) for kind, pattern in enumerate((ASSIGN, ACCESS, HEX, RUN))))
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), found.alias("found"))
+
 
+def spans(scanned: DataFrame) -> DataFrame:
+    """row, kind, start, end and, of candidates, text of all matches that count."""
+    each = scanned.select("row", F.explode("found").alias("p")).select("row", "p.kind", "p.i", "p.gap", "p.size", "p.value", "p.text")
+    return placed(each, "row", "kind").where("kind in (1, 2) or kind = 0 and value >= 6 or text is not null").drop("value")
 
-def levels(scanned: DataFrame) -> DataFrame:
-    """doc_id and a row per candidate: start, end, encoding, class, p and its level."""
-    tokens = scanned.select("doc_id", F.explode("runs").alias("s")).select("doc_id", "s.start", "s.text")
+
+def levels(found: DataFrame) -> DataFrame:
+    """row and a row per candidate: start, end, encoding, class, p and its level."""
+    tokens = found.where("kind = 3").select("row", "start", "text")
     tokens = tokens.withColumn("whole", fitting("text")[0].isNotNull())
     for letters in PARTS:
         tokens = divided(tokens, letters)
@@ -157,35 +170,48 @@ def levels(scanned: DataFrame) -> DataFrame:
     return battery(tokens).withColumn("class", kind).withColumn("level", level).drop("text", "symbols", "whole")
 
 
-def rejected_from(candidates: DataFrame, rate: float = 0.05) -> dict[int, int]:
-    """For each length class the least level at which randomness is rejected (61: at none)."""
-    counts = candidates.groupBy("class", "level").count().collect()  # 4 classes by 61 levels at most
-    out = {k: 61 for k in range(len(CLASSES))}
-    for k in out:
-        own = {r["level"]: r["count"] for r in counts if r["class"] == k}
-        total, reached = sum(own.values()), 0
-        for level in range(60, -1, -1):
-            reached += own.get(level, 0)
-            if own.get(level) and 10 ** (-level / 10) <= rate * reached / total:
-                out[k] = level
+def level_counts(candidates: DataFrame) -> list[dict[int, int]]:
+    """For each length class how many candidates have each level."""
+    rows = candidates.groupBy("class", "level").count().collect()  # 4 classes by 61 levels at most
+    return [{r["level"]: r["count"] for r in rows if r["class"] == k} for k in range(len(CLASSES))]
+
+
+def rejected_from(own: dict[int, int], rate: float = 0.05) -> int:
+    """The least level at which randomness is rejected (61: at none)."""
+    out, total, reached = 61, sum(own.values()), 0
+    for level in range(60, -1, -1):
+        reached += own.get(level, 0)
+        if own.get(level) and 10 ** (-level / 10) <= rate * reached / total:
+            out = level
     return out
 
 
-def find(docs: DataFrame, store, rate: float = 0.05) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random. store keeps a frame as a table (name)."""
-    scanned = store(scan(docs).withColumn("row", F.monotonically_increasing_id()), "scanned")
-    some = scanned.where("size(runs) > 0").select(F.col("row").alias("doc_id"), "runs")
-    candidates = store(levels(some), "candidates")
-    least = rejected_from(candidates, rate)
+def reported_below(own: dict[int, int], least: int, rate: float = 0.5) -> int:
+    """The level, at most ``least``, below which candidates are reported: at most that share of them aren't random."""
+    keys = (1 + sum(n for level, n in own.items() if level < 3)) / (1 - 10**-0.3)
+    for top in range(least, 0, -1):
+        reported = sum(n for level, n in own.items() if level < top)
+        if reported and reported - min(reported, keys * (1 - 10 ** (-top / 10))) <= rate * reported:
+            return top
+    return 0
+
+
+def find(docs: DataFrame, store: Tables, rate: float = 0.05, report_rate: float = 0.5) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random."""
+    scanned = store(scan(docs), "scanned")
+    found = store(spans(scanned), "found")
+    candidates = store(levels(found), "candidates")
     kept = F.lit(False)
-    for k, level in least.items():
-        kept = kept | ((F.col("class") == k) & (F.col("level") < level))
-    random = candidates.where(kept).groupBy(F.col("doc_id").alias("row")).agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("random"))
-    rows = scanned.drop("runs").join(random, "row", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    outside = F.filter(F.coalesce("random", none), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    rows = rows.withColumn("random", outside).withColumn("all", F.array_sort(F.concat("base", "random")))
+    for k, own in enumerate(level_counts(candidates)):
+        kept = kept | ((F.col("class") == k) & (F.col("level") < reported_below(own, rejected_from(own, rate), report_rate)))
+    both = found.where("kind < 3").select("row", "start", "kind", "end").unionByName(candidates.where(kept).select("row", "start", F.lit(3).alias("kind"), "end"))
+    # A base span that begins no later and ends no earlier holds a candidate.
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.coalesce(F.max(F.when(F.col("kind") < 3, F.col("end"))).over(before), F.lit(-1))
+    own = both.withColumn("held", held).where("kind < 3 or held < end").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
+    rows = scanned.select("row", "doc_id").join(own, "row", "left")
+    every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     kinds = F.array(*map(F.lit, KINDS))
-    written = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return rows.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("all").alias("spans"), F.size("random").cast("long").alias("n_random"))
+    written = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda k: F.size(F.filter(every, lambda s: s["kind"] == k)).cast("long")
+    return rows.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(written(F.filter(every, lambda s: s["kind"] < 3)), 256).alias("base_sha256"), written(every).alias("spans"), number(3).alias("n_random"))

@@ -79,16 +79,58 @@ def test_every_run_is_tested(spark):
         assert [(int(a), int(b)) for kind, a, b in (x.split(":") for x in got[k].spans.split(",") if x) if kind == "random"] == want, text
     named = ["q7x2mzk9v4tj1wp8rh3ny6bc5dl0fg", "550e8400-e29b-41d4-a716-446655440000", "/my-app/Zx81kQpL0vRt7YbN3mWc5HsJ", "a1b2-c3d4-e5f6-g7h8-", "_/-" * 400 + "a+1", "a1" * 20000 + "-"]
     docs = spark.createDataFrame([(k, x, "x", 7) for k, x in enumerate(named)], SCHEMA)
-    assert {r.doc_id: r.encoding for r in secrets.levels(secrets.scan(docs)).collect()} == dict(enumerate(["base36", "hex", "base62", "all", "all", "hex"]))
+    scanned = store(spark)(secrets.scan(docs), "scanned")
+    found = secrets.levels(secrets.spans(scanned)).join(scanned.select("row", "doc_id"), "row")
+    assert {r.doc_id: r.encoding for r in found.collect()} == dict(enumerate(["base36", "hex", "base62", "all", "all", "hex"]))
 
 
 def test_levels_follow_the_procedure(spark):
-    rows = [(0, level, 1) for level in [0] * 80 + [10] * 5 + [40] * 10 + [60] * 5]
-    frame = spark.createDataFrame([(c, lv) for c, lv, _ in rows], "class int, level int")
-    least = secrets.rejected_from(frame, 0.05)
-    p = sorted(10 ** (-lv / 10) for _, lv, _ in rows)
-    cut = max(x for k, x in enumerate(p, 1) if x <= 0.05 * k / len(p))
-    assert 10 ** (-least[0] / 10) == cut and least[1] == 61
+    rows = [0] * 80 + [10] * 5 + [40] * 10 + [60] * 5
+    counts = secrets.level_counts(spark.createDataFrame([(0, x) for x in rows], "class int, level int"))
+    least = secrets.rejected_from(counts[0], 0.05)
+    p = sorted(10 ** (-x / 10) for x in rows)
+    assert 10 ** (-least / 10) == max(x for k, x in enumerate(p, 1) if x <= 0.05 * k / len(p)) and secrets.rejected_from(counts[1]) == 61
+    assert secrets.reported_below(counts[0], least) == least and secrets.reported_below({}, 61) == 0
+    # No p-value above a half: nearly nothing is random, and nothing is reported.
+    assert secrets.reported_below({20: 1000}, 61) == 0 and secrets.reported_below({20: 2}, 61) == 61
+
+
+def test_planted_keys_and_structured_strings_at_both_rates(spark):
+    """The battery decides: of many planted strings, by length class, few keys are dismissed and few others reported."""
+    rng = np.random.default_rng(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["alpha", "Beta", "gamma", "Delta", "config", "Handler", "render", "Value", "index", "Page"]
+    texts, kind = [], []
+    for size in (24, 32, 48, 80):
+        for _ in range(150):
+            texts.append("".join(rng.choice(list(letters), size)))
+            kind.append((size, True))
+            named = "".join(rng.choice(words, 20))[: size - 2] + str(rng.integers(10, 99))
+            texts.append(named if any(c.isupper() for c in named) and any(c.islower() for c in named) else "aB" + named[2:])
+            kind.append((size, False))
+    got = check(spark, [f"see {x} there" for x in texts])
+    for size in (24, 32, 48, 80):
+        said = [(key, got[k].n_random > 0) for k, (n, key) in enumerate(kind) if n == size]
+        dismissed, reported = [key for key, r in said if not r], [key for key, r in said if r]
+        if size >= 32:
+            assert sum(dismissed) <= 0.05 * max(len(dismissed), 1) + 4 and len(dismissed) >= 60, size
+        assert not reported or reported.count(False) <= 0.5 * len(reported) + 4, size
+        if size >= 48:
+            assert sum(reported) >= 135 and reported.count(False) <= 40, size
+
+
+def test_time_is_linear_in_matches(spark):
+    import time
+
+    took = []
+    for n in (8_000, 8_000, 32_000):
+        text = "token=abcdefgh1 /my-app/Zx81kQpL0vRt7YbN3mWc5HsJ " * (n // 2)
+        docs = spark.createDataFrame([(1, text, "x", 7)], SCHEMA)
+        began = time.time()
+        row = secrets.find(docs, store(spark)).first()
+        took.append(time.time() - began)
+        assert row.n_assign == n // 2 and row.n_random in (0, n // 2)
+    assert took[2] < 8 * took[1] and took[2] < 30
 
 
 def test_no_documents(spark):
