@@ -32,10 +32,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids, and of the text that they decode to."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    back = sentence_pieces.decode(sentence_pieces.encode(docs))
-    return back.select("doc_id", "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+    """Digests of each document's ids and of the text that they decode to, by the BPE model and by the unigram model of its pieces."""
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for model, unigram in (("bpe", False), ("unigram", True)):
+        encoded = sentence_pieces.encode(docs, shared.Tables(spark, f"pieces-{model}"), unigram=unigram)
+        back = sentence_pieces.decode(encoded, unigram=unigram)
+        one = back.select("doc_id", F.lit(model).alias("model"), "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cohesio.llm import byte_bpe, sentence_pieces, token_counts
+from cohesio.llm import byte_bpe, sentence_pieces, shared, token_counts
 
 TEXTS = [None, "", "\n", "one line", "two\nlines\n", "a\n\n\nb", "é\n日本 x\n🎉🎉\n\n  end", "word " * 2000 + "\n" + "other " * 100, " \n \n", "no end\r\nx"]
 
@@ -59,7 +59,8 @@ def test_sentence_pieces_match_the_library(spark):
     giant = " ".join(rng.choice(words, 9000)) + "y" * 30_000 + " end " * 3000
     texts = [*TEXTS, giant, " lead", "trail ", "▁mark▁", "<s> </s> <0x41>"]
     docs = spark.createDataFrame([(k, t, b"") for k, t in enumerate(texts)] + [(10, giant, b"")], "doc_id long, text string, ids binary")
-    encoded = sentence_pieces.encode(docs, giant=5000, chunk=700)
+    store = shared.Tables(spark, "t")
+    encoded = sentence_pieces.encode(docs, store, giant=5000, chunk=700)
     library = sentence_pieces.load().library
     got = sentence_pieces.decode(encoded).collect()
     assert len(got) == len(texts) + 1 and max(r.n_chunks for r in got) > 20
@@ -69,7 +70,7 @@ def test_sentence_pieces_match_the_library(spark):
         assert r.text == library.decode(ids)
         if "▁" not in (texts[r.doc_id] or ""):
             assert r.text == (texts[r.doc_id] or "")
-    assert sentence_pieces.encode(docs.limit(0)).count() == 0
+    assert sentence_pieces.encode(docs.limit(0), store).count() == 0 == sentence_pieces.encode(docs.limit(0), store, unigram=True).count()
 
 
 def unigram(path, fallback=False):
@@ -100,7 +101,7 @@ def test_unigram_scan_matches_the_library(spark, tmp_path):
         rng = np.random.default_rng(3)
         texts = ["".join(rng.choice(list("abc "), 400)) for _ in range(4)] + ["".join(rng.choice(list("abcéz "), 300)), "a" * 333, "zz" * 100, ""]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {r.doc_id: r for r in sentence_pieces.encode(docs, path, giant=50, chunk=23).collect()}
+        got = {r.doc_id: r for r in sentence_pieces.encode(docs, shared.Tables(spark, "t"), path, giant=50, chunk=23).collect()}
         library = sentence_pieces.load(path).library
         for k, t in enumerate(texts):
             assert np.frombuffer(got[k].ids, "<u4").tolist() == library.encode(t), t
@@ -110,7 +111,7 @@ def test_unigram_scan_matches_the_library(spark, tmp_path):
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(-9, 9), min_size=9, max_size=9), min_size=1, max_size=5))
-def test_max_plus_is_associative_and_states_are_best(flat):
+def test_max_plus_is_associative(flat):
     ms = [np.array(x, dtype=float).reshape(3, 3) for x in flat]
     left, right = ms[0], ms[-1]
     for m in ms[1:]:
@@ -118,5 +119,43 @@ def test_max_plus_is_associative_and_states_are_best(flat):
     for m in ms[-2::-1]:
         right = sentence_pieces.max_plus(m, right)
     assert (left == right).all()
-    states = sentence_pieces.boundary_states(ms)
-    assert states[0] == states[-1] == 0 and sum(m[a, b] for m, a, b in zip(ms, states, states[1:])) == left[0, 0]
+    first = np.array([0.0, -np.inf, -np.inf])
+    for k, f in enumerate(sentence_pieces.prefixes([*ms, ms[0]], first)):
+        whole = [first, *(sentence_pieces.stepped(first, m) for m in [left])]
+        assert k < len(ms) or (f == whole[1]).all()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=4, max_size=4), min_size=1, max_size=7), st.integers(0, 3))
+def test_exits_compose(flat, last):
+    cs = [np.array(c) for c in flat]
+    found = sentence_pieces.exits(cs, last)
+    assert found[-1] == last and all(cs[k + 1][found[k + 1]] == found[k] for k in range(len(cs) - 1))
+    assert sentence_pieces.composed(cs)[last] == cs[0][found[0]]
+
+
+def test_made_unigram_model_matches_the_library(spark, monkeypatch):
+    """The pieces at hand, giants with and without blanks, groups of few chunks, exact ties."""
+    monkeypatch.setattr(sentence_pieces, "GROUP", 3)
+    rng = np.random.default_rng(8)
+    words = ["the", "word", "日本", "a", "ing", "\n", "  ", "🎉", "longish", "=1", "ab", "tion", "é"]
+    giants = [sep.join(rng.choice(words, 6000)) for sep in (" ", "")] + ["a" * 9000, "ab" * 5000, "🎉" * 3000, "x y" * 4000, "\u0378" * 4001]
+    texts = [*TEXTS, *giants]
+    docs = spark.createDataFrame([*enumerate(texts), (None, giants[1])], "doc_id long, text string")
+    rows = sentence_pieces.decode(sentence_pieces.encode(docs, shared.Tables(spark, "t"), unigram=True, giant=3000, chunk=500), unigram=True).collect()
+    library = sentence_pieces.load(unigram=True).library
+    assert len(rows) == len(texts) + 1 and sum(r.n_chunks > 5 for r in rows) == len(giants) + 1
+    for r in rows:
+        text = giants[1] if r.doc_id is None else texts[r.doc_id] or ""
+        ids = library.encode(text)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.text == library.decode(ids) == (text.replace("▁", " ") if "▁" in text else text), text[:40]
+
+
+def test_transfer_of_coupled_entries_is_exact():
+    m = sentence_pieces.load(unigram=True)
+    rng = np.random.default_rng(2)
+    text = m.library.normalize(" ".join(rng.choice(["the", "cat", "日本", "aaaa", "ing", "🎉"], 200)))
+    got = m.transfer(text, 400)
+    for i in range(m.longest):
+        want = m.paths(text, 400, np.where(np.arange(m.longest) == i, 0.0, -np.inf))[0][400 : 400 + m.longest]
+        assert got[i].tolist() == want
