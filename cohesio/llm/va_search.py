@@ -1,9 +1,9 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 A vector's approximation holds, for each component, the number of one of 256 cells of equal width between the
-component's least and largest value in the table: a byte where the exact component has eight. Products of a
-query with the middles of a vector's cells are off by at most half a width times the query's components, so a scan
-of the approximations gives bounds for every score. Only approximations and queries are dealt out, as pairs of a
+component's least and largest value in the table: a byte where the exact component has eight. Components are whole
+numbers, so a cell of width w holds w of them. Products of a query with the middles of a vector's cells are off by at
+most (w - 1) / 2 times the query's components, so a scan of the approximations gives bounds for every score. Only approximations and queries are dealt out, as pairs of a
 block of queries and a block of vectors; a unit keeps what its own bounds can't exclude, then the bounds of all
 units together exclude more. Exact vectors are read for what is left, in the order of upper bounds: first for twice
 the number asked for, and then for all others whose upper bound isn't below the worst score found, so that the
@@ -38,15 +38,17 @@ SALTS = 16
 
 def approximate(x: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Cell numbers of vectors, given the lower edges and widths of each component's cells."""
-    return np.clip(np.floor((x - low) / np.where(width > 0, width, 1.0)), 0, CELLS - 1).astype(np.uint8)
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor((x - low) / width), 0, CELLS - 1).astype(np.uint8)
 
 
 def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of every query's product with every vector, from the cells."""
     with np.errstate(all="ignore"):
-        middle = q @ (low + (cells + 0.5) * width).T
+        half = (width - 1) / 2
+        middle = q @ (low + cells * width + half).T
         size = np.abs(q)
-        off = size @ (width / 2) + 1e-9 * (1 + size @ (np.abs(low) + (CELLS + 1) * width))  # half a cell, and rounding
+        off = size @ half + 1e-9 * (1 + size @ (np.abs(low) + (CELLS + 1) * width))  # half a cell, and rounding
         lower, upper = middle - off[:, None], middle + off[:, None]
     # Where doubles overflow nothing is known.
     unknown = ~(np.isfinite(lower) & np.isfinite(upper))
@@ -90,7 +92,7 @@ def ranges_of(points: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for size in {r["d"] for r in rows}:
         own = sorted((r["at"], r["low"], r["high"]) for r in rows if r["d"] == size)
         low, high = (np.array([r[k] for r in own]) for k in (1, 2))
-        out[size] = (low, high / CELLS - low / CELLS)
+        out[size] = (low, np.ceil(high / CELLS - low / CELLS + 1 / CELLS))
     return out
 
 

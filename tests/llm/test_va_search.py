@@ -62,6 +62,7 @@ def test_bounds_hold():
     rng = np.random.default_rng(3)
     q, v = rng.integers(-64, 64, (20, 9)).astype(float), rng.integers(-6400, 6400, (500, 9)).astype(float)
     v[:, 3] = 5
-    low, width = v.min(axis=0), np.ptp(v, axis=0) / va_search.CELLS
-    lower, upper = va_search.bounds(q, va_search.approximate(v, low, width), low, width)
-    assert (lower <= q @ v.T).all() and (q @ v.T <= upper).all() and (upper - lower).mean() < 0.02 * np.ptp(q @ v.T)
+    for x, least in ((v, 0.02), (v // 60, 1e-6)):
+        low, width = x.min(axis=0), np.ceil((np.ptp(x, axis=0) + 1) / va_search.CELLS)
+        lower, upper = va_search.bounds(q, va_search.approximate(x, low, width), low, width)
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all() and (upper - lower).mean() < least * np.ptp(q @ x.T)
