@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohesio.functions.vectors import weight
 from cohesio.operators.pairs import all_meet, blocks_for
+from cohesio.storage import keeper
 
 FOUND = "i long, j long, w double"
 #: So many queries are answered exactly, and the cells that hold this share of their neighbours are
@@ -58,12 +59,14 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("i", "j", "w", "rank")
 
 
-def by_expression(queries: DataFrame, clusters: DataFrame, k: int, offset: float, places: int | None = None) -> DataFrame:
-    """Search in Spark's own functions; every pair passes through a row, so it's for small inputs."""
+def by_expression(queries: DataFrame, clusters: DataFrame, k: int, offset: float, places: int | None = None, one_block: bool = False) -> DataFrame:
+    """Search in Spark's own functions; every pair passes through a row, so it's for small inputs. A few queries are
+    one block, so that the clusters are read once."""
     x = queries.select(F.col("cluster").alias("i"), F.col("size").alias("si"), F.col("fsum").alias("fi"))
     y = clusters.select(F.col("cluster").alias("j"), F.col("size").alias("sj"), F.col("fsum").alias("fj"))
     w = weight("fi", "fj", offset, "si", "sj")
-    return top(all_meet(x, y, "i", "j", blocks_for(clusters.count())).where("i <> j").select("i", "j", (F.round(w, places) if places is not None else w).alias("w")), k)
+    blocks = blocks_for(clusters.count())
+    return top(all_meet(x, y, "i", "j", 1 if one_block else blocks, blocks).where("i <> j").select("i", "j", (F.round(w, places) if places is not None else w).alias("w")), k)
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,15 +110,26 @@ def by_blocks(queries: DataFrame, clusters: DataFrame, k: int, offset: float, bl
     return top(units.applyInArrow(lambda t: best_in_block(t, k, offset, places), FOUND), k)
 
 
-def cell_centres(clusters: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 1) -> np.ndarray:
-    """Centres of k-means, fitted on a sample of at most about sample_rows vectors (a bound of the fit alone)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def cell_centres(clusters: DataFrame, cells: int, sample_rows: int = 20_000, sample_bytes: int = 64 << 20, rounds: int = 10, seed: int = 1) -> np.ndarray:
+    """Centres of k-means, fitted here on a sample by hash of about sample_rows vectors or sample_bytes at most (a bound
+    of the fit alone)."""
+    n, row = clusters.count(), clusters.select(F.size("fsum").alias("d")).first()
+    most = min(sample_rows, sample_bytes // (8 * max(1, row["d"]))) if row else 1
+    some = clusters if n <= most else clusters.where(F.pmod(F.xxhash64("cluster", F.lit(seed)), F.lit(n)) < most)
+    ids, size, x = _matrix(some.select("cluster", "size", "fsum").toArrow())
+    x = x[np.argsort(ids)]
+    k = min(cells, max(2, n // 4), max(1, len(x)))
+    centres = x[np.sort(np.random.default_rng(seed).choice(len(x), k, replace=False))] if len(x) else np.zeros((1, 1))
+    for _ in range(rounds if len(x) else 0):
+        home = nearest_cell(x, centres)
+        for c in range(k):
+            if (own := home == c).any():
+                centres[c] = x[own].mean(axis=0)
+    return centres
+
 
-    n = clusters.count()
-    some = clusters if n <= sample_rows else clusters.sample(sample_rows / n, seed=seed)
-    model = KMeans(k=min(cells, max(2, n // 4)), seed=seed, maxIter=10, featuresCol="v").fit(some.select(array_to_vector(F.transform("fsum", lambda x: x.cast("double"))).alias("v")))
-    return np.array(model.clusterCenters())
+def nearest_cell(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T, axis=1)
 
 
 def probes_for(queries: DataFrame, clusters: DataFrame, homes: DataFrame, centres: np.ndarray, k: int, offset: float) -> int:
@@ -145,12 +159,11 @@ def by_cells(queries: DataFrame, clusters: DataFrame, k: int, offset: float, ind
     Every vector is in one cell, its nearest centre. Large cells are dealt out in blocks.
     """
     centres = cell_centres(clusters, index.cells, seed=seed)
-    norms = (centres**2).sum(axis=1)
 
     def home(batches):
         for batch in batches:
             _, size, x = _matrix(pa.Table.from_batches([batch]))
-            at = np.argmin(norms[None, :] - 2 * (x / size[:, None]) @ centres.T, axis=1) if len(size) else np.empty(0)
+            at = nearest_cell(x / size[:, None], centres) if len(size) else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     def probe(batches):
@@ -161,8 +174,7 @@ def by_cells(queries: DataFrame, clusters: DataFrame, k: int, offset: float, ind
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(at.reshape(-1).astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     columns, kinds = ["cluster", "size", "fsum"], "cluster long, size long, fsum array<double>, cell int"
-    mean_size = F.col("size") * 1
-    base = clusters.select("cluster", mean_size.alias("size"), "fsum").mapInArrow(home, kinds)
+    base = keeper(clusters.sparkSession, "cells")(clusters.select(*columns).mapInArrow(home, kinds), "homes")
     probes = min(index.probes or probes_for(queries, clusters, base, centres, k, offset), len(centres))
     counts = {r["cell"]: max(1, -(-r["count"] // block_rows)) for r in base.groupBy("cell").count().collect()}  # one row per cell
     parts = F.coalesce(F.element_at(F.create_map(*(x for c, b in counts.items() for x in (F.lit(c), F.lit(b)))), F.col("cell")), F.lit(1)) if counts else F.lit(1)
@@ -192,4 +204,4 @@ def without(clusters: DataFrame, removed: DataFrame) -> DataFrame:
 
 def one_nearest(clusters: DataFrame, cluster: int, offset: float, k: int = 1) -> DataFrame:
     """The best k others of a single cluster."""
-    return by_expression(clusters.where(F.col("cluster") == cluster), clusters, k, offset)
+    return by_expression(clusters.where(F.col("cluster") == cluster), clusters, k, offset, one_block=True)

@@ -47,4 +47,5 @@ def cluster_count(labels: DataFrame) -> DataFrame:
 def cluster_pair_weights(clusters: DataFrame, offset: float) -> DataFrame:
     """a, b, w of all pairs of clusters, from their sums alone."""
     x, y = (clusters.select(F.col("cluster").alias(e), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}")) for e in "ab")
-    return all_meet(x, y, "a", "b", blocks_for(clusters.count())).where("a < b").select("a", "b", weight("fsum_a", "fsum_b", offset, "size_a", "size_b").alias("w"))
+    blocks = blocks_for(clusters.count())
+    return all_meet(x, y, "a", "b", blocks, blocks).where("a < b").select("a", "b", weight("fsum_a", "fsum_b", offset, "size_a", "size_b").alias("w"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohesio.functions.vectors import weight
+from cohesio.storage import Tables
 
 
-def all_meet(x: DataFrame, y: DataFrame, x_key: str, y_key: str, blocks: int) -> DataFrame:
+def all_meet(x: DataFrame, y: DataFrame, x_key: str, y_key: str, x_blocks: int, y_blocks: int) -> DataFrame:
     """Every row of x with every row of y, as an equi-join on pairs of blocks: a task gets one block of each.
 
     No side is broadcast or held whole, and a row is sent once for each block it meets.
     """
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = x.withColumn("_bx", F.pmod(F.xxhash64(x_key), F.lit(blocks)).cast("int")).withColumn("_by", all_blocks)
-    right = y.withColumn("_by", F.pmod(F.xxhash64(y_key), F.lit(blocks)).cast("int")).withColumn("_bx", all_blocks)
+    block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = x.withColumn("_bx", block(x_key, x_blocks)).withColumn("_by", every(y_blocks))
+    right = y.withColumn("_by", block(y_key, y_blocks)).withColumn("_bx", every(x_blocks))
     return left.join(right, ["_bx", "_by"]).drop("_bx", "_by")
 
 
@@ -28,7 +30,8 @@ def pair_weights(nodes: DataFrame, offset: float, places: int | None = None) ->
     """a, b, w of all pairs a < b. It is quadratic by nature: for instances meant to have an explicit graph."""
     x, y = (nodes.select(F.col("node_id").alias(e), F.col("features").alias(f"f_{e}")) for e in "ab")
     w = weight("f_a", "f_b", offset)
-    return all_meet(x, y, "a", "b", blocks_for(nodes.count())).where("a < b").select("a", "b", (F.round(w, places) if places is not None else w).alias("w"))
+    blocks = blocks_for(nodes.count())
+    return all_meet(x, y, "a", "b", blocks, blocks).where("a < b").select("a", "b", (F.round(w, places) if places is not None else w).alias("w"))
 
 
 def positive(edges: DataFrame) -> DataFrame:
@@ -70,16 +73,18 @@ def least_weight(lists: DataFrame) -> DataFrame:
     return lists.groupBy("i").agg(F.min("w").alias("min_w"))
 
 
-def common_neighbours(lists: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Neighbours in the lists of both nodes, with the weight they have to the union."""
-    one, two = lists.where(F.col("i") == x).select("j", "w"), lists.where(F.col("i") == y).select("j", F.col("w").alias("w2"))
-    return one.join(two, "j").select("j", (F.col("w") + F.col("w2")).alias("w"))
+def common_neighbours(lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """x, y, j, w: for each pair asked (x, y) the neighbours in both lists, with the weight they have to the union."""
+    one = asked.join(lists.select(F.col("i").alias("x"), "j", "w"), "x")
+    two = lists.select(F.col("i").alias("y"), "j", F.col("w").alias("w2"))
+    return one.join(two, ["y", "j"]).select("x", "y", "j", (F.col("w") + F.col("w2")).alias("w"))
 
 
-def exclusive_neighbours(lists: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Neighbours in one of the two lists only, and whose (i); neither node itself."""
-    own, other = lists.where((F.col("i") == x) | (F.col("i") == y)), lists.where((F.col("i") == x) | (F.col("i") == y)).select(F.col("i").alias("k"), F.col("j").alias("l"))
-    return own.join(other, (F.col("j") == F.col("l")) & (F.col("i") != F.col("k")), "left_anti").where((F.col("j") != x) & (F.col("j") != y)).select("i", "j", "w")
+def exclusive_neighbours(lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """x, y, i, j, w: for each pair asked the neighbours j, neither x nor y, in one of the two lists only, and whose (i)."""
+    own = asked.select("x", "y", F.explode(F.array("x", "y")).alias("i")).join(lists.select("i", "j", "w"), "i")
+    outside = own.where((F.col("j") != F.col("x")) & (F.col("j") != F.col("y")))
+    return outside.groupBy("x", "y", "j").agg(F.count("*").alias("n"), F.min("i").alias("i"), F.min("w").alias("w")).where("n = 1").select("x", "y", "i", "j", "w")
 
 
 def inverse_neighbours(lists: DataFrame) -> DataFrame:
@@ -87,17 +92,15 @@ def inverse_neighbours(lists: DataFrame) -> DataFrame:
     return lists.groupBy(F.col("j").alias("node_id")).agg(F.count("*").alias("followers"), F.max("w").alias("max_w"))
 
 
-def contiguous(labels: DataFrame) -> DataFrame:
-    """Labels 0 .. c-1 in the order of cluster ids: ranks of the distinct ids, found without one global sort task."""
-    ids = labels.select("cluster").distinct()
-    cuts = ids.select(F.explode(F.expr("percentile_approx(cluster, array(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))")).alias("c")).distinct().collect() if not ids.isEmpty() else []
-    part = F.lit(0)
-    for row in sorted(cuts):  # nine at most
-        part = part + (F.col("cluster") > row["c"]).cast("int")
-    parted = ids.withColumn("part", part)
-    sizes = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}  # ten rows at most
-    before = F.lit(0)
-    for k in sizes:
-        before = before + F.when(F.col("part") > k, sizes[k]).otherwise(0)
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("cluster")) - 1 + before
+def contiguous(labels: DataFrame, store: Tables) -> DataFrame:
+    """Labels 0 .. c-1 in the order of cluster ids: ranks of the distinct ids, found in as many tasks as ids need."""
+    ids = labels.select("cluster").distinct().repartitionByRange("cluster").withColumn("part", F.spark_partition_id())
+    parted = store(ids, "ids")
+    sizes = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}  # a row for each partition
+    before, starts = 0, []
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(k, 0)
+    start = F.element_at(F.split(F.lit(",".join(map(str, starts)) or "0"), ",").cast("array<bigint>"), F.col("part") + 1)
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("cluster")) - 1 + start
     return labels.join(parted.select("cluster", rank.cast("long").alias("label")), "cluster").select("node_id", "label")

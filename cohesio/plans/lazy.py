@@ -1,10 +1,14 @@
 """Lazy contraction: only edges of a k-nearest-neighbour graph are contracted, and the graph is built anew over
 the clusters when none of its edges is positive any more. It ends when a new graph has no positive edge, which
-with an exact index means that no pair of clusters has."""
+with an exact index means that no pair of clusters has.
 
-from __future__ import annotations
+Within a graph all pairs of its greedy matching are contracted at once, the edges are taken over to the unions and
+weighed anew from the clusters' sums, and those stay that are positive and among the best ``cap`` at one of their
+ends; then comes the next matching. The rule is the same at every size: a small number of clusters goes through the
+same steps within one task, with the same labels.
+"""
 
-import heapq
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -17,77 +21,52 @@ from cohesio.plans.rounds import Solution
 from cohesio.sources.problem import Problem
 from cohesio.storage import keeper
 
+Edges = dict[tuple[int, int], float]
+
 
-def contract_here(ids: list[int], size: np.ndarray, x: np.ndarray, edges: list[tuple[int, int, float]], offset: float, cap: int) -> dict[int, int]:
-    """cluster by cluster's id: greedy contraction within a graph in memory, best edge first.
-
-    A union's neighbours are those of both sides; it keeps the ``cap`` best of them.
-    """
-    at = {c: k for k, c in enumerate(ids)}
-    near: dict[int, dict[int, float]] = {c: {} for c in ids}
-    for a, b, w in edges:
-        near[a][b] = near[b][a] = w
-    queue = [(-w, a, b) for a, b, w in edges if w > 0]
-    heapq.heapify(queue)
-    to = {c: c for c in ids}
-    members = {c: [c] for c in ids}
-    while queue:
-        minus, a, b = heapq.heappop(queue)
-        if near.get(a, {}).get(b) != -minus:
-            continue
-        ka, kb = at[a], at[b]
-        others = sorted((near[a].keys() | near[b].keys()) - {a, b})
-        known = {c: near[a][c] + near[b][c] for c in others if c in near[a] and c in near[b]}
-        x[ka] += x[kb]
-        size[ka] += size[kb]
-        for c in others:
-            near[c].pop(b, None)
-            near[c].pop(a, None)
-        del near[b]
-        fresh = {c: known[c] if c in known else float(x[ka] @ x[at[c]] - offset * size[ka] * size[at[c]]) for c in others}
-        best = sorted(((w, c) for c, w in fresh.items() if w > 0), key=lambda e: (-e[0], e[1]))[:cap]
-        near[a] = {c: w for w, c in best}
-        for w, c in best:
-            near[c][a] = w
-            heapq.heappush(queue, (-w, min(a, c), max(a, c)))
-        for m in members.pop(b):
-            to[m] = a
-            members[a].append(m)
-    # Under its smallest id, as everywhere.
-    least = {c: min(found) for c, found in members.items()}
-    return {c: least[r] for c, r in to.items()}
-
-
-def contracted_in_task(clusters: DataFrame, graph: DataFrame, offset: float, cap: int) -> DataFrame:
-    """a, b (b joins a) of all contractions within a graph small enough for one task."""
-
-    def one(vectors: pa.Table, edges: pa.Table) -> pa.Table:
-        vectors = vectors.sort_by("cluster")
-        ids, size, x = neighbours._matrix(vectors)
-        found = contract_here(ids.tolist(), size.copy(), x.copy(), sorted(zip(*(edges[c].to_pylist() for c in ("a", "b", "w")))), offset, cap)
-        moved = [(r, c) for c, r in found.items() if r != c]
-        return pa.table({"a": pa.array([a for a, _ in moved], type=pa.int64()), "b": pa.array([b for _, b in moved], type=pa.int64())})
-
-    ends = graph.select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
-    inside = clusters.select("cluster", "size", "fsum").join(ends, "cluster", "left_semi")
-    return inside.groupBy(F.lit("all").alias("_all")).cogroup(graph.select("a", "b", "w").groupBy(F.lit("all").alias("_all"))).applyInArrow(one, "a long, b long")
-
-
-def nearest_here(size: np.ndarray, x: np.ndarray, k: int, offset: float) -> list[tuple[int, int, float]]:
+def nearest_here(size: np.ndarray, x: np.ndarray, k: int, offset: float, places: int) -> Edges:
     """Positive edges (positions a < b, w) of the k-nearest-neighbour graph of clusters in memory."""
-    out: dict[tuple[int, int], float] = {}
+    out: Edges = {}
     for lo in range(0, len(x), 512):
-        w = x[lo : lo + 512] @ x.T - offset * size[lo : lo + 512, None] * size[None, :]
+        w = np.round(x[lo : lo + 512] @ x.T - offset * size[lo : lo + 512, None] * size[None, :], places)
         w[np.arange(len(w)), np.arange(lo, lo + len(w))] = -np.inf
         for i, row in enumerate(w):
             at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
             for j in at[np.lexsort((at, -row[at]))][:k].tolist():
                 if row[j] > 0:
                     out[min(i + lo, j), max(i + lo, j)] = float(row[j])
-    return [(a, b, w) for (a, b), w in sorted(out.items())]
-
-
-def finish(clusters: DataFrame, k: int, cap: int, offset: float) -> DataFrame:
+    return out
+
+
+def capped_here(edges: Edges, cap: int) -> Edges:
+    """Edges that are among the best ``cap`` at one of their ends, in memory."""
+    near: dict[int, list[tuple[float, int]]] = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, []).append((-w, b))
+        near.setdefault(b, []).append((-w, a))
+    kept = {(min(i, j), max(i, j)) for i, others in near.items() for _, j in sorted(others)[:cap]}
+    return {e: w for e, w in edges.items() if e in kept}
+
+
+def contract_here(size: np.ndarray, x: np.ndarray, edges: Edges, offset: float, cap: int, places: int) -> np.ndarray:
+    """The cluster of each position after all contractions within a graph in memory; size and x are added up in place."""
+    to = np.arange(len(x))
+    while edges:
+        merged = {b: a for a, b, _ in matching.match_here([(w, a, b) for (a, b), w in edges.items()])}
+        for b, a in merged.items():
+            size[a] += size[b]
+            x[a] += x[b]
+        step = np.arange(len(x))
+        step[list(merged)] = list(merged.values())
+        to = step[to]
+        ends = {(min(p), max(p)) for p in ((int(step[a]), int(step[b])) for a, b in edges) if p[0] != p[1]}
+        a, b = (np.array([e[k] for e in sorted(ends)], dtype=np.int64) for k in (0, 1))
+        w = np.round(np.einsum("ij,ij->i", x[a], x[b]) - offset * size[a] * size[b], places)
+        edges = capped_here({(p, q): v for p, q, v in zip(a.tolist(), b.tolist(), w.tolist()) if v > 0}, cap)
+    return to
+
+
+def finish(clusters: DataFrame, k: int, cap: int, offset: float, places: int) -> DataFrame:
     """cluster, to, rounds: all further graphs and contractions in one task; for a checked, small number of clusters."""
 
     def one(table: pa.Table) -> pa.Table:
@@ -95,17 +74,17 @@ def finish(clusters: DataFrame, k: int, cap: int, offset: float) -> DataFrame:
         ids, size, x = neighbours._matrix(table)
         size, x, final, now, counts = size.copy(), x.copy(), np.arange(len(ids)), np.arange(len(ids)), []
         while len(now) > 1:
-            edges = nearest_here(size[now], x[now], min(k, len(now) - 1), offset)
-            to = contract_here(list(range(len(now))), size[now].copy(), x[now].copy(), edges, offset, cap) if edges else {}
-            moved = {b: a for b, a in to.items() if a != b}
-            if not moved:
+            edges = nearest_here(size[now], x[now], min(k, len(now) - 1), offset, places)
+            if not edges:
                 break
-            counts.append(len(moved))
-            for b, a in sorted(moved.items()):
-                size[now[a]] += size[now[b]]
-                x[now[a]] += x[now[b]]
-                final[final == now[b]] = now[a]
-            now = np.delete(now, list(moved))
+            sizes, sums = size[now], x[now]
+            to = contract_here(sizes, sums, edges, offset, cap, places)
+            size[now], x[now] = sizes, sums
+            whole = np.arange(len(ids))
+            whole[now] = now[to]
+            final = whole[final]
+            counts.append(int((to != np.arange(len(now))).sum()))
+            now = now[to == np.arange(len(now))]
         return pa.table({"cluster": table["cluster"], "to": pa.array(ids[final]), "rounds": pa.array([counts] * len(ids), type=pa.list_(pa.int64()))})
 
     return clusters.select("cluster", "size", "fsum").groupBy(F.lit("all").alias("_all")).applyInArrow(one, "cluster long, to long, rounds array<long>")
@@ -124,48 +103,35 @@ def capped(graph: DataFrame, cap: int) -> DataFrame:
     return best.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
 
 
-def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str = "brute_force", later: str | None = None, small: int = 200_000, small_nodes: int = 4096, most_rounds: int = 10_000) -> Solution:
-    """Lazy contraction; ``later`` is the index from the second graph on. Graphs over ``small`` edges are
-    contracted by distributed matchings, smaller ones in one task in strict order. Once at most ``small_nodes``
-    clusters are left and the index is exact, one task does all the rest by the same rule."""
+def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbours.Index = "brute_force", later: str | neighbours.Index | None = None, small_nodes: int = 4096, places: int = 9, most_rounds: int = 10_000) -> Solution:
+    """Lazy contraction; ``later`` is the index from the second graph on. Once at most ``small_nodes`` clusters are left
+    and the index is exact, one task does all the rest by the same rule. Weights are rounded to ``places``."""
     keep = keeper(problem.nodes.sparkSession, "lazy")
-    first, then = neighbours.parse_index(index), neighbours.parse_index(later or index)
+    first, then = (neighbours.parse_index(x) if isinstance(x, str) else x for x in (index, later or index))
     clusters, labels, rounds = keep(problem.clusters(), "clusters-0"), problem.nodes.select("node_id", F.col("node_id").alias("cluster")), []
     n = clusters.count()
     for build in range(1, most_rounds + 1):
         if n < 2:
             break
         if n <= small_nodes and (first if build == 1 else then).exact:
-            last = keep(finish(clusters, k, cap, problem.offset), "last")
+            last = keep(finish(clusters, k, cap, problem.offset, places), "last")
             moved = last.where("to <> cluster").select(F.col("to").alias("a"), F.col("cluster").alias("b"))
             return Solution(problem, contraction.relabelled(labels, moved), rounds + list(last.select("rounds").first()["rounds"]))
-        near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then)
-        graph = keep(matching.candidates(near), f"graph-{build}")
-        edges, step = graph.count(), 0
-        if not edges:
-            break
+        near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then, places=places)
+        graph, step = keep(matching.candidates(near.withColumn("w", F.round("w", places))), f"graph-{build}"), 0
         before = n
-        while edges:
+        while not graph.isEmpty():
             step += 1
             tag = f"{build}-{step}"
-            if edges <= small:
-                merged = keep(contracted_in_task(clusters, graph, problem.offset, cap), f"merged-{tag}")
-                labels = keep(contraction.relabelled(labels, merged), f"labels-{tag}")
-                moved = contraction.relabelled(clusters.select(F.col("cluster").alias("node_id"), F.col("cluster")), merged)
-                sized = clusters.select(F.col("cluster").alias("node_id"), F.col("size").alias("_size"), "fsum").join(moved, "node_id")
-                sums = sized.select("cluster", "_size", F.posexplode("fsum").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x"), F.sum("_size").alias("size"))
-                rows = F.array_sort(F.collect_list(F.struct("at", "x")))
-                clusters = keep(sums.groupBy("cluster").agg(F.max("size").alias("size"), F.transform(rows, lambda r: r["x"]).alias("fsum")), f"clusters-{tag}")
-                break
             merged = keep(matching.greedy_matching(graph, keep, f"matching-{tag}").select("a", "b"), f"merged-{tag}")
             labels = keep(contraction.relabelled(labels, merged), f"labels-{tag}")
             clusters = keep(contraction.contracted(clusters, merged), f"clusters-{tag}")
             ends = graph.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().select("node_id", F.col("node_id").alias("cluster"))
             moved = pairs.contract_edges(graph, contraction.relabelled(ends, merged)).select("a", "b")
-            graph = keep(capped(pairs.positive(weighed(moved, clusters, problem.offset)), cap), f"graph-{tag}")
-            edges = graph.count()
+            weights = weighed(moved, clusters, problem.offset).withColumn("w", F.round("w", places))
+            graph = keep(capped(pairs.positive(weights), cap), f"graph-{tag}")
         n = clusters.count()
-        rounds.append(before - n)
-        if n == before:  # an approximate index may offer pairs that no longer are
+        if n == before:
             break
+        rounds.append(before - n)
     return Solution(problem, labels, rounds)

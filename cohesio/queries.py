@@ -90,6 +90,13 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(problem.clusters(), 5, OFFSET, neighbours.parse_index("IVF16,Flat"))
 
 
+def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of all vectors, and whether the cells of knn_ivf hold at least nine in ten of them."""
+    found = knn_ivf(spark, sf_dir).select("i", "j", F.lit(1).alias("hit"))
+    both = knn5(spark, sf_dir).join(found, ["i", "j"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("hits"))
+    return both.select("neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
 def cost_disconnected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objective.all_cut_cost(_problem(spark, sf_dir).nodes, OFFSET).select(F.round("cost", 6).alias("cost"))
 
@@ -129,14 +136,21 @@ def knn_max_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).agg(F.round(F.max("w"), 6).alias("max_w"), F.count("*").alias("entries"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y: the pairs that a round of matching contracts."""
+    return greedy_matching(spark, sf_dir).select(F.col("a").alias("x"), F.col("b").alias("y"))
+
+
 def common_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.common_neighbours(_lists(spark, sf_dir, 50), F.lit(0), F.lit(1))
-    return found.select("j", F.round("w", 6).alias("w"))
+    """Of all pairs that a round of matching contracts, in lists of 50."""
+    found = pairs.common_neighbours(_lists(spark, sf_dir, 50), _asked(spark, sf_dir))
+    return found.select("x", "y", "j", F.round("w", 6).alias("w"))
 
 
 def exclusive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs.exclusive_neighbours(_lists(spark, sf_dir, 50), F.lit(0), F.lit(1))
-    return found.select("i", "j", F.round("w", 6).alias("w"))
+    """Of all pairs that a round of matching contracts, in lists of 50."""
+    found = pairs.exclusive_neighbours(_lists(spark, sf_dir, 50), _asked(spark, sf_dir))
+    return found.select("x", "y", "i", "j", F.round("w", 6).alias("w"))
 
 
 def inverse_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +162,7 @@ def best_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contiguous_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.contiguous(_labels(spark, sf_dir).select("node_id", (F.col("cluster") * 7 + 3).alias("cluster")))
+    return pairs.contiguous(_labels(spark, sf_dir).select("node_id", (F.col("cluster") * 7 + 3).alias("cluster")), keeper(spark, "contiguous"))
 
 
 def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +236,21 @@ def dense_laec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lazy.dense_laec(_problem(spark, sf_dir)).labels
 
 
+def dense_laec_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every step distributed."""
+    return lazy.dense_laec(_problem(spark, sf_dir), small_nodes=0).labels
+
+
 def dense_laec_bf_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lazy.dense_laec(_problem(spark, sf_dir), index="HNSW", later="faiss_brute_force").labels
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (append_offset, signed_self_product, pair_weights, positive_edges, non_negative_edges, nn1, nn1_single, knn5, knn5_expr, knn_subset, knn_ivf, cost_disconnected, labeling_cost, labeling_cost_fast, cluster_sums, cluster_count, contract_edges, cluster_pair_weights, knn_min_weight, knn_max_weight, common_neighbours, exclusive_neighbours, inverse_neighbours, best_edge, contiguous_labels, canonical_labels, same_cluster, greedy_matching, greedy_matching_rounds, mutual_matching, gaec_steps, parallel_gaec, parallel_gaec_rounds, parallel_gaec_edges, parallel_gaec_stats, dense_laec, dense_laec_bf_later)}
+def dense_laec_bf_later_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its plan where the first search looks into all cells, so that its graph is the exact one."""
+    return lazy.dense_laec(_problem(spark, sf_dir), index=neighbours.Index("ivf", 8, 8), later="faiss_brute_force").labels
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (append_offset, signed_self_product, pair_weights, positive_edges, non_negative_edges, nn1, nn1_single, knn5, knn5_expr, knn_subset, knn_ivf, knn_ivf_recall, cost_disconnected, labeling_cost, labeling_cost_fast, cluster_sums, cluster_count, contract_edges, cluster_pair_weights, knn_min_weight, knn_max_weight, common_neighbours, exclusive_neighbours, inverse_neighbours, best_edge, contiguous_labels, canonical_labels, same_cluster, greedy_matching, greedy_matching_rounds, mutual_matching, gaec_steps, parallel_gaec, parallel_gaec_rounds, parallel_gaec_edges, parallel_gaec_stats, dense_laec, dense_laec_rounds, dense_laec_bf_later, dense_laec_bf_later_all_cells)}
 QUERIES |= {way: _sequential(way) for way in sequential.WAYS} | {f"{way}_by_label": _by_label(way) for way in sequential.WAYS}
 
 _IP = "list_inner_product(x.embedding::double[], y.embedding::double[])"
@@ -243,6 +267,9 @@ _BEST = "E as (select a, b, max(w) w from (select least(i, j) a, greatest(i, j)
 _MATCHED = "list_reduce(list([a, b] order by w desc, a, b), lambda acc, e: case when list_has_any(acc, e) then acc else list_concat(acc, e) end, []::bigint[])"
 
 
+_ASKED = f"{_BEST}, M as (select {_MATCHED} m from E), Q as (select m[k] x, m[k + 1] y from (select unnest(range(1, len(m), 2)) k, m from M))"
+
+
 def _round(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
@@ -274,6 +301,27 @@ _ROUNDS = f"""r(step, labels) as (select 0, {_NODES} union all
       group by step)))"""
 _PARALLEL = f"with recursive {_W9}, {_ROUNDS} {_LABELS} (select labels from r order by step desc limit 1)"
 
+_POSITION = "coalesce(list_position(m, x), 1)"
+_LAZY = f"""with recursive {_W9},
+start as (select {_NODES} labels),
+pairs0 as (select i a, j b, w from W),
+graph0 as (select distinct least(x, y) a, greatest(x, y) b, w from (
+  select *, row_number() over (partition by x order by w desc, y) rn from (select unnest([a, b]) x, unnest([b, a]) y, w from pairs0)) where rn <= 5 and w > 0),
+r(step, labels, g) as (select 0, labels, (select list({{'a': a, 'b': b, 'w': w}} order by w desc, a, b) from graph0) from start
+  union all
+  select step + 1, labels, g from (
+    with c as (select step, g, list_transform(labels, lambda x: case when {_POSITION} % 2 = 0 then m[list_position(m, x) - 1] else x end) labels from (
+        select step, labels, g, list_reduce(list_transform(g, lambda e: [e.a, e.b]), lambda acc, e: case when list_has_any(acc, e) then acc else list_concat(acc, e) end, []::bigint[]) m
+        from r where len(g) > 0)),
+    p as (select least(labels[i+1], labels[j+1]) a, greatest(labels[i+1], labels[j+1]) b, round(sum(w), 9) w from c, W where labels[i+1] <> labels[j+1] group by all),
+    old as (select distinct least(labels[e.a+1], labels[e.b+1]) a, greatest(labels[e.a+1], labels[e.b+1]) b from (select labels, unnest(g) e from c) where labels[e.a+1] <> labels[e.b+1]),
+    d as (select old.a is not null kept, unnest([p.a, p.b]) x, unnest([p.b, p.a]) y, w from p left join old on p.a = old.a and p.b = old.b where w > 0),
+    k as (select distinct kept, least(x, y) a, greatest(x, y) b, w from (
+      select true kept, x, y, w, row_number() over (partition by x order by w desc, y) rn from d where kept
+      union all select false, x, y, w, row_number() over (partition by x order by w desc, y) from d) where rn <= 5)
+    select step, labels, (select list({{'a': a, 'b': b, 'w': w}} order by w desc, a, b) from k where kept = (select bool_or(kept) from k)) g from c))
+{_LABELS} (select labels from r order by step desc limit 1)"""
+
 ORACLES: dict[str, str] = {
     "append_offset": f"select vec_id, list_append(embedding::double[], sqrt({OFFSET})) features from embeddings",
     "signed_self_product": f"select vec_id, {_round(f'list_inner_product(embedding::double[], embedding::double[]) - {OFFSET}')} tracked, {_round(f'list_inner_product(embedding::double[], embedding::double[]) + {OFFSET}')} plain from embeddings",
@@ -291,8 +339,8 @@ ORACLES: dict[str, str] = {
     "contract_edges": f"with {_PAIRS} select least(x.label, y.label)::bigint a, greatest(x.label, y.label)::bigint b, {_round('sum(w)')} w from P join embeddings x on P.a = x.vec_id join embeddings y on P.b = y.vec_id where x.label <> y.label group by 1, 2",
     "knn_min_weight": f"with {_RANKED} select i, {_round('min(w)')} min_w from R where \"rank\" <= 5 group by i",
     "knn_max_weight": f"with {_RANKED} select {_round('max(w)')} max_w, count(*) entries from R where \"rank\" <= 5",
-    "common_neighbours": f"with {_RANKED} select x.j, {_round('x.w + y.w')} w from R x join R y on x.j = y.j where x.i = 0 and y.i = 1 and x.\"rank\" <= 50 and y.\"rank\" <= 50",
-    "exclusive_neighbours": f"with {_RANKED}, L as (select * from R where i in (0, 1) and \"rank\" <= 50) select i, j, {_round('w')} w from L where j not in (0, 1) and (select count(*) from L o where o.j = L.j) = 1",
+    "common_neighbours": f"with {_RANKED}, {_ASKED} select q.x, q.y, o.j, {_round('o.w + t.w')} w from Q q join R o on o.i = q.x and o.\"rank\" <= 50 join R t on t.i = q.y and t.j = o.j and t.\"rank\" <= 50",
+    "exclusive_neighbours": f"with {_RANKED}, {_ASKED}, L as (select q.x, q.y, o.i, o.j, o.w from Q q join R o on o.i in (q.x, q.y) and o.\"rank\" <= 50 and o.j not in (q.x, q.y)) select x, y, i, j, {_round('w')} w from L qualify count(*) over (partition by x, y, j) = 1",
     "inverse_neighbours": f"with {_RANKED} select j node_id, count(*) followers, {_round('max(w)')} max_w from R where \"rank\" <= 5 group by j",
     "best_edge": f"with {_PAIRS} select a, b, {_round('w')} w from P order by round(w, 6) desc, a, b limit 1",
     "contiguous_labels": "select vec_id node_id, dense_rank() over (order by label) - 1 label from embeddings",
@@ -305,10 +353,12 @@ ORACLES: dict[str, str] = {
     "gaec_by_label": _BY_LABEL_SQL,
     "dense_gaec_by_label": _BY_LABEL_SQL,
     "dense_gaec_inc_by_label": _BY_LABEL_SQL,
+    "knn_ivf_recall": f"with {_RANKED} select count(*) neighbours, true enough from R where \"rank\" <= 5",
+    "dense_laec": _LAZY,
     "gaec_steps": _sequential_sql("and step < 5"),
     "parallel_gaec": _PARALLEL,
     "parallel_gaec_stats": f"""with recursive {_W9}, {_ROUNDS}, L as (select labels from r order by step desc limit 1)
 select 'cost' measure, {_round('sum(w)')} "value" from L, (select x.vec_id i, y.vec_id j, {_IP} - {OFFSET} w from embeddings x, embeddings y where x.vec_id < y.vec_id) where labels[i+1] <> labels[j+1]
 union all select 'clusters', len(list_distinct(labels))::double from L""",
 }
-ORACLES |= {"knn5_expr": ORACLES["knn5"], "labeling_cost_fast": ORACLES["labeling_cost"], "cluster_pair_weights": ORACLES["contract_edges"], "greedy_matching_rounds": ORACLES["greedy_matching"], "parallel_gaec_rounds": _PARALLEL, "parallel_gaec_edges": _PARALLEL}
+ORACLES |= {"knn5_expr": ORACLES["knn5"], "labeling_cost_fast": ORACLES["labeling_cost"], "cluster_pair_weights": ORACLES["contract_edges"], "greedy_matching_rounds": ORACLES["greedy_matching"], "parallel_gaec_rounds": _PARALLEL, "parallel_gaec_edges": _PARALLEL, "dense_laec_rounds": _LAZY, "dense_laec_bf_later_all_cells": _LAZY}

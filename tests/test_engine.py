@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -73,10 +74,10 @@ def test_sequential_solvers_agree_with_brute_force(n, d, offset):
         assert cost(x, offset, want) == pytest.approx(cost(x, offset, range(n)) - sum(done), abs=1e-6)
 
 
-@pytest.mark.parametrize("n,d", [(100, 16), (200, 64)])
+@pytest.mark.parametrize("n,d", [(100, 16), (200, 64), (1000, 1024)])
 def test_sequential_solvers_agree(n, d):
     x = np.random.default_rng(1).uniform(-1, 1, (n, d))
-    found = [f(x, *a) for f, a in ((sequential.by_matrix, (0.0,)), (sequential.by_nearest, (0.0,)), (sequential.by_lists, (0.0, 1, 1)))]
+    found = [f(x, *a) for f, a in ((sequential.by_matrix, (0.0,)), (sequential.by_nearest, (0.0,)), (sequential.by_lists, (0.0, 1, 1)), (sequential.by_lists, (0.0, 5, 8)))]
     assert all((found[0][0] == f[0]).all() for f in found[1:])
 
 
@@ -134,18 +135,51 @@ def test_rounds_three_ways(spark):
     assert here.cost() <= objective.all_cut_cost(p.nodes, 0.3).first().cost
 
 
-def test_lazy_ends_without_positive_pairs(spark):
-    x = np.random.default_rng(9).uniform(-1, 1, (60, 6))
-    p = problem(spark, x, 0.3)
-    in_task, by_jobs = (lazy.dense_laec(p, 3, 3, small_nodes=n) for n in (100, 0))
-    assert labels_of(in_task.labels) == labels_of(by_jobs.labels) and in_task.rounds == by_jobs.rounds
-    for options in ({}, {"small_nodes": 0, "small": 0}, {"index": "IVF4,Flat", "later": "faiss_brute_force"}):
-        found = lazy.dense_laec(p, 3, 3, **options)
-        left = objective.cluster_pair_weights(contraction.sums_of(p.nodes, found.labels), 0.3)
-        assert left.where("w > 1e-9").isEmpty()
-        label = labels_of(found.labels)
-        assert len(label) == 60 and all(label[c] == c for c in label) and found.contractions == 60 - len(set(label))
-        assert found.cost() == pytest.approx(cost(x, 0.3, label)) and found.cost() < cost(x, 0.3, range(60))
+def literal_lazy(x, offset, k, cap):
+    """The lazy rule over an explicit table of weights: matchings within a graph, then a new graph."""
+    n = len(x)
+    label, rounds = list(range(n)), []
+
+    def weights():
+        own = sorted(set(label))
+        sums, size = {c: sum(x[i] for i in range(n) if label[i] == c) for c in own}, Counter(label)
+        return {(a, b): round(float(sums[a] @ sums[b]) - offset * size[a] * size[b], 9) for a in own for b in own if a < b}
+
+    def best(edges, m):
+        near = defaultdict(list)
+        for (a, b), w in edges.items():
+            near[a].append((-w, b))
+            near[b].append((-w, a))
+        kept = {(min(i, j), max(i, j)) for i, v in near.items() for _, j in sorted(v)[:m]}
+        return {e: w for e, w in edges.items() if e in kept and w > 0}
+
+    while graph := best(weights(), k):
+        rounds.append(0)
+        while graph:
+            to = {}
+            for (a, b), _ in sorted(graph.items(), key=lambda e: (-e[1], e[0])):
+                if not {a, b} & (to.keys() | set(to.values())):
+                    to[b] = a
+            rounds[-1] += len(to)
+            label = [to.get(c, c) for c in label]
+            ends = {tuple(sorted((to.get(a, a), to.get(b, b)))) for a, b in graph}
+            w = weights()
+            graph = best({e: w[e] for e in ends if e[0] != e[1] and w[e] > 0}, cap)
+    return label, rounds
+
+
+@pytest.mark.parametrize("seed,n,d,offset,k,cap", [(9, 60, 6, 0.3, 3, 3), (1, 40, 4, 0.1, 1, 2), (2, 80, 5, 0.4, 5, 1)])
+def test_lazy_is_one_rule_at_every_size(spark, seed, n, d, offset, k, cap):
+    x = np.random.default_rng(seed).uniform(-1, 1, (n, d))
+    p, (want, rounds_) = problem(spark, x, offset), literal_lazy(x, offset, k, cap)
+    assert sum(rounds_) == n - len(set(want)) > 5
+    for options in ({}, {"small_nodes": 0}, {"small_nodes": n // 2}, {"index": neighbours.Index("ivf", 4, 4), "later": "faiss_brute_force"}):
+        found = lazy.dense_laec(p, k, cap, **options)
+        assert labels_of(found.labels) == want and found.rounds == rounds_, options
+    assert found.cost() == pytest.approx(cost(x, offset, want)) and found.cost() < cost(x, offset, range(n))
+    near = lazy.dense_laec(p, k, cap, index="IVF4,Flat", later="faiss_brute_force")
+    left = objective.cluster_pair_weights(contraction.sums_of(p.nodes, near.labels), offset)
+    assert left.where("w > 1e-9").isEmpty()
 
 
 def test_objective_fast_and_literal(spark):
@@ -212,17 +246,18 @@ def test_greedy_matching(spark):
 
 def test_neighbour_lists(spark):
     lists = spark.createDataFrame([(0, 2, 5.0), (0, 3, 4.0), (0, 1, 3.0), (1, 2, 2.0), (1, 4, 1.0), (5, 2, 9.0)], "i long, j long, w double")
-    assert sorted(map(tuple, pairs.common_neighbours(lists, F.lit(0), F.lit(1)).collect())) == [(2, 7.0)]
-    assert sorted(map(tuple, pairs.exclusive_neighbours(lists, F.lit(0), F.lit(1)).collect())) == [(0, 3, 4.0), (1, 4, 1.0)]
+    asked = spark.createDataFrame([(0, 1), (5, 0), (7, 8)], "x long, y long")
+    assert sorted(map(tuple, pairs.common_neighbours(lists, asked).collect())) == [(0, 1, 2, 7.0), (5, 0, 2, 14.0)]
+    assert sorted(map(tuple, pairs.exclusive_neighbours(lists, asked).collect())) == [(0, 1, 0, 3, 4.0), (0, 1, 1, 4, 1.0), (5, 0, 0, 1, 3.0), (5, 0, 0, 3, 4.0)]
     assert {r.node_id: (r.followers, r.max_w) for r in pairs.inverse_neighbours(lists).collect()} == {1: (1, 3.0), 2: (3, 9.0), 3: (1, 4.0), 4: (1, 1.0)}
     assert {r.i: r.min_w for r in pairs.least_weight(lists).collect()} == {0: 3.0, 1: 1.0, 5: 9.0}
 
 
 def test_labels(spark):
     labels = spark.createDataFrame([(0, 90), (1, 7), (2, 90), (3, -4)], "node_id long, cluster long")
-    assert {r.node_id: r.label for r in pairs.contiguous(labels).collect()} == {0: 2, 1: 1, 2: 2, 3: 0}
+    assert {r.node_id: r.label for r in pairs.contiguous(labels, keeper(spark, "t")).collect()} == {0: 2, 1: 1, 2: 2, 3: 0}
     assert labels_of(contraction.canonical(labels)) == [0, 1, 0, 3]
-    assert pairs.contiguous(labels.limit(0)).count() == 0
+    assert pairs.contiguous(labels.limit(0), keeper(spark, "t")).count() == 0
     asked = spark.createDataFrame([(0, 2), (0, 1)], "a long, b long")
     assert {(r.a, r.b): r.same for r in contraction.connected(labels, asked).collect()} == {(0, 2): True, (0, 1): False}
 
