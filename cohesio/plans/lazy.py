@@ -2,10 +2,11 @@
 the clusters when none of its edges is positive any more. It ends when a new graph has no positive edge, which
 with an exact index means that no pair of clusters has.
 
-Within a graph all pairs of its greedy matching are contracted at once, the edges are taken over to the unions and
-weighed anew from the clusters' sums, and those stay that are positive and among the best ``cap`` at one of their
-ends; then comes the next matching. The rule is the same at every size: a small number of clusters goes through the
-same steps within one task, with the same labels.
+Within a graph all edges that are the best at both of their ends (ties to the smaller neighbour) are contracted at
+once, the others are taken over to the unions and weighed anew from the clusters' sums, and those stay that are
+positive and among the best ``cap`` at one of their ends; and so on. The best edge of all is among those contracted, so
+this comes close to contracting one best edge after another, in few steps. The rule is the same at every size: a small
+number of clusters goes through the same steps within one task, with the same labels.
 """
 
 from __future__ import annotations
@@ -48,11 +49,21 @@ def capped_here(edges: Edges, cap: int) -> Edges:
     return {e: w for e, w in edges.items() if e in kept}
 
 
+def mutual_here(edges: Edges) -> list[tuple[int, int]]:
+    """The edges that are the best at both of their ends, in memory."""
+    best: dict[int, tuple[float, int]] = {}
+    for (a, b), w in edges.items():
+        for i, j in ((a, b), (b, a)):
+            if i not in best or (-w, j) < best[i]:
+                best[i] = (-w, j)
+    return [(a, b) for a, b in edges if best[a][1] == b and best[b][1] == a]
+
+
 def contract_here(size: np.ndarray, x: np.ndarray, edges: Edges, offset: float, cap: int, places: int) -> np.ndarray:
     """The cluster of each position after all contractions within a graph in memory; size and x are added up in place."""
     to = np.arange(len(x))
     while edges:
-        merged = {b: a for a, b, _ in matching.match_here([(w, a, b) for (a, b), w in edges.items()])}
+        merged = {b: a for a, b in mutual_here(edges)}
         for b, a in merged.items():
             size[a] += size[b]
             x[a] += x[b]
@@ -90,6 +101,21 @@ def finish(clusters: DataFrame, k: int, cap: int, offset: float, places: int) ->
     return clusters.select("cluster", "size", "fsum").groupBy(F.lit("all").alias("_all")).applyInArrow(one, "cluster long, to long, rounds array<long>")
 
 
+def contracted_in_task(clusters: DataFrame, graph: DataFrame, offset: float, cap: int, places: int) -> DataFrame:
+    """cluster, to, size, fsum: the clusters after all contractions within a graph, in one task; for few clusters."""
+
+    def one(vectors: pa.Table, edges: pa.Table) -> pa.Table:
+        ids, size, x = neighbours._matrix(vectors.sort_by("cluster"))
+        size, x = size.copy(), x.copy()
+        a, b = (np.searchsorted(ids, edges[c].to_numpy()).tolist() for c in ("a", "b"))
+        to = contract_here(size, x, dict(zip(zip(a, b), edges["w"].to_pylist())), offset, cap, places)
+        sums = pa.array([v.tolist() for v in x], type=pa.list_(pa.float64()))
+        return pa.table({"cluster": pa.array(ids), "to": pa.array(ids[to]), "size": pa.array(size.astype(np.int64)), "fsum": sums})
+
+    key = F.lit("all").alias("_all")
+    return clusters.select("cluster", "size", "fsum").groupBy(key).cogroup(graph.select("a", "b", "w").groupBy(key)).applyInArrow(one, "cluster long, to long, size long, fsum array<double>")
+
+
 def weighed(graph: DataFrame, clusters: DataFrame, offset: float) -> DataFrame:
     """a, b, w of a graph's pairs, from the clusters' sums."""
     ends = [clusters.select(F.col("cluster").alias(e), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}")) for e in "ab"]
@@ -120,10 +146,15 @@ def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbou
         near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then, places=places)
         graph, step = keep(matching.candidates(near.withColumn("w", F.round("w", places))), f"graph-{build}"), 0
         before = n
+        if n <= small_nodes and not graph.isEmpty():  # the same steps in one task
+            done = keep(contracted_in_task(clusters, graph, problem.offset, cap, places), f"done-{build}")
+            labels = keep(contraction.relabelled(labels, done.where("cluster <> to").select(F.col("to").alias("a"), F.col("cluster").alias("b"))), f"labels-{build}")
+            clusters = keep(done.where("cluster = to").drop("to"), f"clusters-{build}")
+            graph = graph.limit(0)
         while not graph.isEmpty():
             step += 1
             tag = f"{build}-{step}"
-            merged = keep(matching.greedy_matching(graph, keep, f"matching-{tag}").select("a", "b"), f"merged-{tag}")
+            merged = keep(matching.mutual_best(graph).select("a", "b"), f"merged-{tag}")
             labels = keep(contraction.relabelled(labels, merged), f"labels-{tag}")
             clusters = keep(contraction.contracted(clusters, merged), f"clusters-{tag}")
             ends = graph.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().select("node_id", F.col("node_id").alias("cluster"))

@@ -310,9 +310,10 @@ graph0 as (select distinct least(x, y) a, greatest(x, y) b, w from (
 r(step, labels, g) as (select 0, labels, (select list({{'a': a, 'b': b, 'w': w}} order by w desc, a, b) from graph0) from start
   union all
   select step + 1, labels, g from (
-    with c as (select step, g, list_transform(labels, lambda x: case when {_POSITION} % 2 = 0 then m[list_position(m, x) - 1] else x end) labels from (
-        select step, labels, g, list_reduce(list_transform(g, lambda e: [e.a, e.b]), lambda acc, e: case when list_has_any(acc, e) then acc else list_concat(acc, e) end, []::bigint[]) m
-        from r where len(g) > 0)),
+    with b as (select x, y from (select unnest([e.a, e.b]) x, unnest([e.b, e.a]) y, e.w w from (select unnest(g) e from r where len(g) > 0))
+        qualify row_number() over (partition by x order by w desc, y) = 1),
+    c as (select step, g, list_transform(labels, lambda x: case when {_POSITION} % 2 = 0 then m[list_position(m, x) - 1] else x end) labels
+      from r, (select flatten(list([o.x, o.y])) m from b o join b t on o.x = t.y and o.y = t.x where o.x < o.y) where len(g) > 0),
     p as (select least(labels[i+1], labels[j+1]) a, greatest(labels[i+1], labels[j+1]) b, round(sum(w), 9) w from c, W where labels[i+1] <> labels[j+1] group by all),
     old as (select distinct least(labels[e.a+1], labels[e.b+1]) a, greatest(labels[e.a+1], labels[e.b+1]) b from (select labels, unnest(g) e from c) where labels[e.a+1] <> labels[e.b+1]),
     d as (select old.a is not null kept, unnest([p.a, p.b]) x, unnest([p.b, p.a]) y, w from p left join old on p.a = old.a and p.b = old.b where w > 0),

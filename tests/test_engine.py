@@ -156,10 +156,8 @@ def literal_lazy(x, offset, k, cap):
     while graph := best(weights(), k):
         rounds.append(0)
         while graph:
-            to = {}
-            for (a, b), _ in sorted(graph.items(), key=lambda e: (-e[1], e[0])):
-                if not {a, b} & (to.keys() | set(to.values())):
-                    to[b] = a
+            first = {i: min((-w, sum(e) - i) for e, w in graph.items() if i in e) for i in {i for e in graph for i in e}}
+            to = {b: a for a, b in graph if first[a][1] == b and first[b][1] == a}
             rounds[-1] += len(to)
             label = [to.get(c, c) for c in label]
             ends = {tuple(sorted((to.get(a, a), to.get(b, b)))) for a, b in graph}
