@@ -3,8 +3,10 @@
 A text is cut before every blank that follows a non-blank. The pre-tokenizer's pattern never joins a
 non-blank with a blank after it, so each piece encodes on its own to the ids it has within the whole
 text. Arrow splits many texts at once and tells their distinct pieces; only those pass through Python, and numpy
-lays out the ids of all places. Pieces recur, so their ids are kept in a table; when it holds MOST pieces it
-becomes the old one, from which pieces that come again move on, and the old one before is dropped.
+lays out the ids of all places. A piece of letters is a word of the pattern; others are split into words, and only
+words not met before go through the library's merging. Pieces and words recur, so a table keeps their numbers and
+a flat array their ids; when it holds MOST of them it becomes the old one, from which those that come again move
+on, and the old one before is dropped.
 Texts with a blank after other white space are cut by a pattern, and those with an added token of the
 vocabulary are encoded whole. The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,41 @@ import pyarrow.compute as pc
 
 #: Characters that are encoded together, at least one text.
 AT_ONCE = 8_000_000
-#: Pieces in each of a worker's two tables (about 200 bytes each).
+#: Pieces and words in each of a worker's two tables (about 170 bytes each).
 MOST = 500_000
 _INNER = re.compile(r" (?<=\s\s)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _loaded: dict[str, "ByteBPE"] = {}
 
 
+def _laid(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids by their numbers, one after the other, and where each ends; stretch k lies between bounds k and k + 1."""
+    begin = bounds[numbers]
+    n = bounds[numbers + 1] - begin
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    narrow = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - n)).astype(narrow), n)
+    at += np.arange(total, dtype=narrow)
+    return ids[at], ends
+
+
+class Stretches:
+    """Numbers of pieces and words, and the ids of each."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keeps keys that end at these places of ids; returns their numbers."""
+        first = len(self.bounds) - 1
+        self.number.update(zip(keys, range(first, first + len(keys))))
+        self.bounds = np.concatenate([self.bounds, ends + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        return np.arange(first, first + len(keys))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -70,33 +101,69 @@ class ByteBPE:
         self.n_bytes = np.zeros(self.whole.get_vocab_size(), dtype=np.int64)
         for token, k in self.whole.get_vocab().items():
             self.n_bytes[k] = len(token)
-        #: Ids of pieces that follow a blank, written without it.
-        self.tail: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode_new(self, alone: list[str], joined: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of pieces. Joined ones begin with their only blank and end in a non-blank, so the pattern cuts
-        between them and they are split into words together."""
-        starts, words = list(map(self.pattern.findall, alone)), self.pattern.findall("".join(joined))
-        fresh = list(set(words).union(*starts))
-        spelt = [w.encode() for w in fresh]
-        found: dict[str, bytes] = {}
-        for lo in range(0, len(fresh), 2000):
-            some = spelt[lo : lo + 2000]
+        self.now, self.old = Stretches(), Stretches()
+
+    def _known(self, keys: list[str]) -> np.ndarray:
+        """The numbers of distinct keys in the present table, -1 where none has them; those of the old one move on."""
+        numbers = np.fromiter(map(self.now.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        if self.old.number:
+            lacking = np.flatnonzero(numbers < 0)
+            before = np.fromiter(map(self.old.number.get, map(keys.__getitem__, lacking.tolist()), repeat(-1)), dtype=np.int64, count=len(lacking))
+            again = lacking[before >= 0]
+            if len(again):
+                numbers[again] = self.now.add([keys[k] for k in again.tolist()], *_laid(self.old.ids, self.old.bounds, before[before >= 0]))
+        return numbers
+
+    def _encode_new(self, words: list[str]) -> np.ndarray:
+        """Encodes distinct words of the pattern and keeps them; returns their numbers."""
+        found, ends, total = [], [], 0
+        for lo in range(0, len(words), 2000):
+            spelt = [w.encode() for w in words[lo : lo + 2000]]
             # No UTF-8 text has the byte 255: it parts the words until letters stand for bytes.
-            line = b"\xff".join(some).decode("latin-1").translate(self.letters)
-            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w) for w in some]), side="right")).tolist()
-            raw = ids.tobytes()
-            found.update(zip(fresh[lo : lo + 2000], [raw[x:y] for x, y in zip([0, *ends[:-1]], ends)]))
-        get = found.__getitem__
-        out: list[bytes] = []
-        for w in words:  # a word that begins with the blank begins a piece
-            if w[0] == " ":
-                out.append(get(w))
+            line = b"\xff".join(spelt).decode("latin-1").translate(self.letters)
+            found.append(np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4"))
+            ends.append(total + np.searchsorted(np.cumsum(self.n_bytes[found[-1]]), np.cumsum(list(map(len, spelt))), side="right"))
+            total += len(found[-1])
+        return self.now.add(words, np.concatenate(found), np.concatenate(ends)) if found else np.zeros(0, dtype=np.int64)
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces, each with the blank before it, if any."""
+        numbers = self._known(keys)
+        lacking = np.flatnonzero(numbers < 0).tolist()
+        if not lacking:
+            return numbers
+        letters, joined, odd = [], [], []
+        for k in lacking:
+            key = keys[k]
+            bare = key[1:]
+            if bare.isalpha() and (key[0] == " " or key[0].isalpha()):
+                letters.append(k)
+            elif bare and key[0] == " " and " " not in bare and not bare[0].isspace() and not bare[-1].isspace():
+                joined.append(k)
             else:
-                out[-1] += get(w)
-        return [b"".join(map(get, s)) for s in starts], out
+                odd.append(k)
+        # Joined ones begin with their only blank and end in a non-blank, so the pattern cuts between them.
+        words, apart = self.pattern.findall("".join([keys[k] for k in joined])), [self.pattern.findall(keys[k]) for k in odd]
+        n_joined = len(words)
+        for found in apart:
+            words += found
+        coded = pa.array(words, type=pa.string()).dictionary_encode()
+        place, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self._known(distinct)
+        mine = [keys[k] for k in letters]
+        among = set(mine)
+        fresh = [k for k in np.flatnonzero(at < 0).tolist() if distinct[k] not in among]
+        new = self._encode_new([*mine, *map(distinct.__getitem__, fresh)])
+        numbers[letters], at[fresh] = new[: len(mine)], new[len(mine) :]
+        rest = np.flatnonzero(at < 0).tolist()
+        at[rest] = [self.now.number[distinct[k]] for k in rest]
+        # A word that begins with the blank begins a joined piece.
+        blank = np.array([w[0] == " " for w in distinct], dtype=bool)
+        begins = np.flatnonzero(blank[place[:n_joined]]) if n_joined else np.zeros(0, dtype=np.int64)
+        last = np.concatenate([begins[1:], [n_joined] if len(begins) else [], n_joined + np.cumsum([len(x) for x in apart])]).astype(np.int64)
+        ids, ends = _laid(self.now.ids, self.now.bounds, at[place])
+        numbers[joined + odd] = self.now.add([keys[k] for k in joined + odd], ids, np.concatenate([[0], ends])[last])
+        return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -119,43 +186,21 @@ class ByteBPE:
             lists = pa.concat_arrays([lists, pa.array(cut, type=pa.list_(pa.string()))])
         starts = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        place, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        place, bare = coded.indices.to_numpy().copy(), coded.dictionary
+        pieces = pc.binary_join_element_wise(pa.scalar(" "), bare, "").to_numpy(zero_copy_only=False).tolist()
+        # A text's first piece has no blank before it.
         heads = [t.partition(" ")[0] for t in plain] + [c[0] for c in cut]
-        first, ids = self._ids_of(heads, distinct)
-        if len(starts) > 1:
-            place[starts[:-1]] = len(distinct) + np.arange(len(heads))  # a text's first piece has no blank before it
-        every = [*ids, *first]
-        length = np.array([len(x) for x in every], dtype=np.int64) // 4
-        table, begin = np.frombuffer(b"".join(every), dtype="<u4"), np.cumsum(length) - length
-        n = length[place]
-        ends = np.cumsum(n)
-        laid = table[np.repeat(begin[place] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        first = {h: k for k, h in enumerate(dict.fromkeys(heads), len(pieces))}
+        place[starts[:-1]] = [first[h] for h in heads]
+        if len(self.now.number) > MOST:
+            self.old, self.now = self.now, Stretches()
+        numbers = self._numbers([*pieces, *first])
+        laid, ends = _laid(self.now.ids, self.now.bounds, numbers[place])
+        laid = laid.tobytes()
         stops = np.concatenate([[0], 4 * ends])[starts].tolist()
         plain_ids = iter([laid[x:y] for x, y in zip(stops, stops[1:])])
         found: list[bytes | None] = [self._direct(t) if w else None if o else next(plain_ids) for t, w, o in zip(texts, whole, odd)]
         return [next(plain_ids) if x is None else x for x in found]
 
-    def _ids_of(self, heads: list[str], pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of pieces that begin texts, and of distinct ones that follow a blank."""
-        if len(self.tail) > MOST:
-            self.old, self.tail = self.tail, {}
-        tail = self.tail
-        got = list(map(tail.get, pieces))
-        lacking = [k for k, x in enumerate(got) if x is None] if None in got else []
-        known = list(map(self.old.get, map(pieces.__getitem__, lacking))) if self.old else [None] * len(lacking)
-        joined, odd = [], []
-        for k, x in zip(lacking, known):
-            if x is not None:
-                got[k] = tail[pieces[k]] = x
-            else:
-                p = pieces[k]
-                (joined if p and " " not in p and not p[-1].isspace() and not p[0].isspace() else odd).append(k)
-        alone, ids = self._encode_new([*heads, *(" " + pieces[k] for k in odd)], [" " + pieces[k] for k in joined])
-        for at, found in ((joined, ids), (odd, alone[len(heads) :])):
-            tail.update(zip(map(pieces.__getitem__, at), found))
-            for k, x in zip(at, found):
-                got[k] = x
-        return alone[: len(heads)], got
-
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
