@@ -4,9 +4,8 @@ A text is cut before every blank that follows a non-blank. The pre-tokenizer's p
 non-blank with a blank after it, so each piece encodes on its own to the ids it has within the whole
 text. Arrow splits many texts at once and tells their distinct pieces; only those pass through Python, and numpy
 lays out the ids of all places. A piece of letters is a word of the pattern; others are split into words, and only
-words not met before go through the library's merging. Pieces and words recur, so a table keeps their numbers and
-a flat array their ids; when it holds MOST of them it becomes the old one, from which those that come again move
-on, and the old one before is dropped.
+words not met before go through the library's merging. Pieces and words recur, so their ids are kept (see
+``stretches``).
 Texts with a blank after other white space are cut by a pattern, and those with an added token of the
 vocabulary are encoded whole. The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
@@ -16,49 +15,22 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cohesio.llm.stretches import Stretches
+
 #: Characters that are encoded together, at least one text.
 AT_ONCE = 8_000_000
-#: Pieces and words in each of a worker's two tables (about 170 bytes each).
+#: Pieces and words in each of a worker's two tables.
 MOST = 500_000
 _INNER = re.compile(r" (?<=\s\s)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _loaded: dict[str, "ByteBPE"] = {}
 
 
-def _laid(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ids by their numbers, one after the other, and where each ends; stretch k lies between bounds k and k + 1."""
-    begin = bounds[numbers]
-    n = bounds[numbers + 1] - begin
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    narrow = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
-    at = np.repeat((begin - (ends - n)).astype(narrow), n)
-    at += np.arange(total, dtype=narrow)
-    return ids[at], ends
-
-
-class Stretches:
-    """Numbers of pieces and words, and the ids of each."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.ids, self.bounds = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-
-    def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Keeps keys that end at these places of ids; returns their numbers."""
-        first = len(self.bounds) - 1
-        self.number.update(zip(keys, range(first, first + len(keys))))
-        self.bounds = np.concatenate([self.bounds, ends + len(self.ids)])
-        self.ids = np.concatenate([self.ids, ids])
-        return np.arange(first, first + len(keys))
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -101,18 +73,7 @@ class ByteBPE:
         self.n_bytes = np.zeros(self.whole.get_vocab_size(), dtype=np.int64)
         for token, k in self.whole.get_vocab().items():
             self.n_bytes[k] = len(token)
-        self.now, self.old = Stretches(), Stretches()
-
-    def _known(self, keys: list[str]) -> np.ndarray:
-        """The numbers of distinct keys in the present table, -1 where none has them; those of the old one move on."""
-        numbers = np.fromiter(map(self.now.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-        if self.old.number:
-            lacking = np.flatnonzero(numbers < 0)
-            before = np.fromiter(map(self.old.number.get, map(keys.__getitem__, lacking.tolist()), repeat(-1)), dtype=np.int64, count=len(lacking))
-            again = lacking[before >= 0]
-            if len(again):
-                numbers[again] = self.now.add([keys[k] for k in again.tolist()], *_laid(self.old.ids, self.old.bounds, before[before >= 0]))
-        return numbers
+        self.kept = Stretches(MOST)
 
     def _encode_new(self, words: list[str]) -> np.ndarray:
         """Encodes distinct words of the pattern and keeps them; returns their numbers."""
@@ -124,11 +85,11 @@ class ByteBPE:
             found.append(np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4"))
             ends.append(total + np.searchsorted(np.cumsum(self.n_bytes[found[-1]]), np.cumsum(list(map(len, spelt))), side="right"))
             total += len(found[-1])
-        return self.now.add(words, np.concatenate(found), np.concatenate(ends)) if found else np.zeros(0, dtype=np.int64)
+        return self.kept.add(words, np.concatenate(found), np.concatenate(ends)) if found else np.zeros(0, dtype=np.int64)
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
         """The numbers of distinct pieces, each with the blank before it, if any."""
-        numbers = self._known(keys)
+        numbers = self.kept.known(keys)
         lacking = np.flatnonzero(numbers < 0).tolist()
         if not lacking:
             return numbers
@@ -149,20 +110,20 @@ class ByteBPE:
             words += found
         coded = pa.array(words, type=pa.string()).dictionary_encode()
         place, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = self._known(distinct)
+        at = self.kept.known(distinct)
         mine = [keys[k] for k in letters]
         among = set(mine)
         fresh = [k for k in np.flatnonzero(at < 0).tolist() if distinct[k] not in among]
         new = self._encode_new([*mine, *map(distinct.__getitem__, fresh)])
         numbers[letters], at[fresh] = new[: len(mine)], new[len(mine) :]
         rest = np.flatnonzero(at < 0).tolist()
-        at[rest] = [self.now.number[distinct[k]] for k in rest]
+        at[rest] = [self.kept.now.number[distinct[k]] for k in rest]
         # A word that begins with the blank begins a joined piece.
         blank = np.array([w[0] == " " for w in distinct], dtype=bool)
         begins = np.flatnonzero(blank[place[:n_joined]]) if n_joined else np.zeros(0, dtype=np.int64)
         last = np.concatenate([begins[1:], [n_joined] if len(begins) else [], n_joined + np.cumsum([len(x) for x in apart])]).astype(np.int64)
-        ids, ends = _laid(self.now.ids, self.now.bounds, at[place])
-        numbers[joined + odd] = self.now.add([keys[k] for k in joined + odd], ids, np.concatenate([[0], ends])[last])
+        ids, ends = self.kept.ids_of(at[place])
+        numbers[joined + odd] = self.kept.add([keys[k] for k in joined + odd], ids, np.concatenate([[0], ends])[last])
         return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -192,10 +153,9 @@ class ByteBPE:
         heads = [t.partition(" ")[0] for t in plain] + [c[0] for c in cut]
         first = {h: k for k, h in enumerate(dict.fromkeys(heads), len(pieces))}
         place[starts[:-1]] = [first[h] for h in heads]
-        if len(self.now.number) > MOST:
-            self.old, self.now = self.now, Stretches()
+        self.kept.turn()
         numbers = self._numbers([*pieces, *first])
-        laid, ends = _laid(self.now.ids, self.now.bounds, numbers[place])
+        laid, ends = self.kept.ids_of(numbers[place])
         laid = laid.tobytes()
         stops = np.concatenate([[0], 4 * ends])[starts].tolist()
         plain_ids = iter([laid[x:y] for x, y in zip(stops, stops[1:])])

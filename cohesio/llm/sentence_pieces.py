@@ -12,7 +12,9 @@ all chunks as in the library.
 BPE models merge by rank and have no path scores, so that scan can't give their ids. But where no piece has a
 word mark (U+2581) after another character, as is checked when a model is loaded, no merge crosses a blank between
 two non-blanks: every path goes through such a boundary, its state is the only one, and chunks cut there
-encode to the ids they have in the whole text. A chunk without such a place is as long as it must be.
+encode to the ids they have in the whole text. A chunk without such a place is as long as it must be. For the same
+reason the stretches between such blanks are encoded once each while a worker keeps them (see ``stretches``), and
+numpy lays out the ids of all places.
 
 Where no unigram model is at hand, ``as_unigram`` makes one of a BPE model's pieces by a fixed rule and without
 training: the piece of rank r, by falling score, scores -ln(r + 2), rounded to eighths. Sums of eighths are exact in
@@ -31,18 +33,25 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohesio.llm.stretches import Stretches
 from cohesio.storage import Tables
 
 MARK = "▁"
 #: So many chunks' matrices are multiplied in one task.
 GROUP = 256
+#: Characters that are encoded together, at least one text.
+AT_ONCE = 1_000_000
+#: Stretches in each of a worker's two tables.
+MOST = 60_000
 _loaded: dict[tuple[str, bool], "Model"] = {}
 
 
@@ -127,12 +136,45 @@ class Model:
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
         self.longest = max(map(len, self.pieces), default=1)
         self.starts = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        self.kept = Stretches(MOST)
         surface = spec.trainer_spec.unk_surface.encode()
         self.table = [bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else surface if p.type == kinds.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in spec.pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        apart = [self.cuts and t[:1] not in ("", " ") and t[-1] != " " and "  " not in t and MARK not in t for t in texts]
+        plain = [t for t, a in zip(texts, apart) if a]
+        whole = [t for t, a in zip(texts, apart) if not a]
+        alone, stretched = (x for lo in range(0, len(whole), 200) for x in self._direct(whole[lo : lo + 200])), self._by_stretches(plain)
+        return [next(stretched if a else alone) for a in apart]
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, dtype="<u4").tobytes() for x in self.library.encode(texts, num_threads=1)]
 
+    def _by_stretches(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts whose blanks all stand alone between other characters: a stretch begins with the model's
+        prefix, which stands for the blank before it."""
+        start = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size < AT_ONCE and k < len(texts) - 1:
+                continue
+            lists = pc.split_pattern(pa.array(texts[start : k + 1], type=pa.string()), " ")
+            coded = lists.flatten().dictionary_encode()
+            keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self.kept.turn()
+            numbers = self.kept.known(keys)
+            new = np.flatnonzero(numbers < 0)
+            for lo in range(0, len(new), 20_000):
+                some = [keys[n] for n in new[lo : lo + 20_000].tolist()]
+                found = self.library.encode(some, num_threads=1)
+                ends = np.cumsum(list(map(len, found)))
+                numbers[new[lo : lo + 20_000]] = self.kept.add(some, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(ends[-1])), ends)
+            ids, ends = self.kept.ids_of(numbers[coded.indices.to_numpy()])
+            raw, stops = ids.tobytes(), np.concatenate([[0], 4 * ends])[lists.offsets.to_numpy()].tolist()
+            yield from (raw[x:y] for x, y in zip(stops, stops[1:]))
+            start, size = k + 1, 0
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
@@ -312,8 +354,8 @@ def encode(docs: DataFrame, store: Tables, model: str | None = None, unigram: bo
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 ids = load(model, unigram).encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([1] * len(ids), type=pa.int64()), pa.array(ids, type=pa.binary())], names=["doc_id", "n_chunks", "ids"])
 

@@ -98,6 +98,21 @@ def test_encoder_matches_the_library():
     same()
 
 
+def test_tables_that_turn_over_keep_ids():
+    from cohesio.llm import sentence_pieces
+
+    words = [f"w{k * 7919 % 613}{'.' if k % 3 else ''}{'s' * (k % 5)}" for k in range(4000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 4000, 20)] + ["", " a", "a  b", "▁ a"]
+    bpe, pieces = byte_bpe.ByteBPE(byte_bpe.default_path()), sentence_pieces.load()
+    bpe.kept.most = pieces.kept.most = 100
+    for lo in range(0, len(texts), 10):
+        some = texts[lo : lo + 10]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(some)] == [x.ids for x in bpe.whole.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in pieces.encode(some)] == pieces.library.encode(some)
+    assert bpe.kept.old.number and pieces.kept.old.number
+    pieces.kept.most = sentence_pieces.MOST
+
+
 def test_token_files(spark):
     rows = [(5, "hello world", "x"), (1, None, "y"), (2, "", "z"), (9, "the end. " * 4000, "w"), (3, "hello world", "x"), (9, "an earlier text", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
