@@ -37,7 +37,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-PAIRS = ["pair_weights", "best_edge", "contract_edges", "labeling_cost", "positive_edges"]
+PAIRS = ["pair_weights", "best_edge", "contract_edges", "labeling_cost", "positive_edges", "non_negative_edges"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
