@@ -8,6 +8,7 @@ import pytest
 
 from cohesio import queries
 from cohesio.operators import pairs
+from cohesio.plans import sequential
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,17 @@ def test_rounded_half_away_from_zero():
     got = pairs.rounded(w, 1)
     assert got[:5].tolist() == [0.3, -0.3, 0.0, 1e300, -np.inf] and np.isnan(got[5]) and not np.signbit(got[2])
     assert pairs.rounded(w[:3], 1).tolist() == [0.3, -0.3, 0.0]
+
+
+def test_matrix_of_more_nodes():
+    """More than 10,000 nodes, of which two make a cluster."""
+    x = np.zeros((10_260, 2))
+    x[[3, 9_000]] = 1
+    label, done = sequential.by_matrix(x, 0.5)
+    assert done == [1.5] and np.flatnonzero(label != np.arange(len(x))).tolist() == [9_000] and label[9_000] == 3
+
+
+def test_matrix_with_ties():
+    """The ways agree where many weights are equal, so that stale rows lead."""
+    x = np.round(np.random.default_rng(8).normal(size=(150, 3)), 1)
+    assert sequential.by_matrix(x, 0.1)[0].tolist() == sequential.by_nearest(x, 0.1)[0].tolist()
