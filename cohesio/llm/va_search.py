@@ -56,6 +56,58 @@ def bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray)
     return lower, upper
 
 
+def near_in_block(q: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, lower, upper) of all vectors that a block's own bounds can't exclude from a query's best k + 1.
+
+    The width of a query's bounds is its own, so products with the cells' middles decide; they are taken in single
+    precision, whose error widens the bounds. Groups of columns whose largest product is too small aren't looked at.
+    """
+    n, group = len(codes), 64
+    with np.errstate(all="ignore"):
+        half = (width - 1) / 2
+        middles = np.zeros((n + -n % group, codes.shape[1]), dtype=np.float32)
+        for lo in range(0, n, 8192):
+            middles[lo : min(lo + 8192, n)] = low + codes[lo : lo + 8192] * width + half
+        size, fits = np.abs(q), bool(np.isfinite(middles).all())
+        # Below 1e30 it also says that no product overflows.
+        off = size @ half + (1e-9 + 2.0**-22 * (codes.shape[1] + 4)) * (1 + size @ (np.abs(low) + (CELLS + 1) * width))
+    for lo in range(0, len(q), 64):
+        with np.errstate(all="ignore"):
+            w = q[lo : lo + 64].astype(np.float32) @ middles.T
+            known = np.isfinite(w.sum(axis=1, dtype=np.float64)) & (off[lo : lo + 64] < 1e30)
+        if n <= k + 1 or not known.all():  # all are kept, or doubles tell
+            for at in range(0, n, 8192):
+                lower, upper = bounds(q[lo : lo + 64], codes[at : at + 8192], low, width)
+                least = np.full(len(lower), -np.inf)
+                if lower.shape[1] > k + 1:
+                    least = np.partition(lower, lower.shape[1] - k - 1, axis=1)[:, lower.shape[1] - k - 1]
+                i, j = np.nonzero(upper >= least[:, None])
+                yield lo + i, at + j, lower[i, j], upper[i, j]
+            continue
+        some = q[lo : lo + 64].astype(np.float32)
+        w = np.empty((len(some), len(middles)), dtype=np.float32)
+        groups = w.reshape(len(w), -1, group)
+        tops = np.empty(groups.shape[:2], dtype=np.float32)
+        for at in range(0, len(middles), 4096):
+            np.matmul(some, middles[at : at + 4096].T, out=w[:, at : at + 4096])
+            w[:, max(n, at) : at + 4096] = -np.inf
+            part = slice(at // group, at // group + 4096 // group)
+            groups[:, part].max(axis=2, out=tops[:, part])
+        m, own = tops.shape[1], 2 * off[lo : lo + 64]
+        floor = np.partition(tops, m - k - 1, axis=1)[:, m - k - 1] if m > k + 1 else np.full(len(w), -np.inf)
+        floor = np.nextafter((floor - own).astype(np.float32), np.float32(-np.inf))
+        row, place = np.nonzero(tops >= floor[:, None])
+        some, column = np.nonzero(groups[row, place] >= floor[row][:, None])
+        i, j = row[some], place[some] * group + column
+        i, j = i[j < n], j[j < n]
+        order = np.lexsort((-w[i, j], i))
+        i, j = i[order], j[order]
+        v, last = w[i, j].astype(np.float64), np.searchsorted(i, np.arange(len(w))) + k
+        fine = v >= (v[last] - own)[i]
+        i, j, v = i[fine], j[fine], v[fine]
+        yield lo + i, j, v - off[lo + i], v + off[lo + i]
+
+
 def products(x: np.ndarray, y: np.ndarray) -> list[int]:
     """The exact inner product of each row of x with that of y, at most what 64 bits hold."""
     most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1])
@@ -103,12 +155,13 @@ def top_k(vectors: DataFrame, is_query: Column, store: Tables, k: int = 20, scal
     largest = F.lit(1.7976931348623157e308)
     whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(F.greatest(F.least(x, largest), -largest))
     scaled = F.transform("embedding", lambda x: whole(x * scale))
-    rows = fine.select("vec_id", scaled.alias("x")).groupBy("x", "vec_id").agg(F.count("*").alias("n"))
+    rows = fine.select("vec_id", scaled.alias("x")).groupBy("vec_id", "x").agg(F.count("*").alias("n"))
     rows = store(rows.select("*", F.xxhash64("x").alias("p1"), F.xxhash64(F.lit(7), "x").alias("p2")), "rows")
-    least = Window.partitionBy("x").orderBy(F.col("vec_id").asc_nulls_last())
+    # Hashes come first, so that few vectors are compared.
+    least = Window.partitionBy("p1", "p2", "x").orderBy(F.col("vec_id").asc_nulls_last())
     few = rows.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
     members = F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id", F.least("n", F.lit(k + 1)).alias("n")))), lambda s: F.struct(s["vec_id"].alias("vec_id"), s["n"].alias("n")))
-    points = few.groupBy("x", "p1", "p2").agg(members.alias("members")).withColumn("d", F.size("x"))
+    points = few.groupBy("p1", "p2", "x").agg(members.alias("members")).withColumn("d", F.size("x"))
     asked = rows.where(is_query).select("p1", "p2").distinct().withColumn("asked", F.lit(True))
     points = store(points.join(asked, ["p1", "p2"], "left").select("*", F.monotonically_increasing_id().alias("id")), "points")
     cells = ranges_of(points)
@@ -125,7 +178,8 @@ def top_k(vectors: DataFrame, is_query: Column, store: Tables, k: int = 20, scal
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary()), batch.column(2)], names=["id", "cells", "d"])
 
     n, n_asked = points.count(), points.where("asked").count()
-    vb, qb = max(1, -(-n // block_rows)), max(1, -(-n_asked // query_rows))
+    # A unit holds several blocks where there are many, since each keeps k + 1 for each of its queries at least.
+    vb, qb = (max(min(8, -(-rows // size)), -(-rows // (most * size)), 1) for rows, size, most in ((n, block_rows, 16), (n_asked, query_rows, 4)))
     block = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     approximations = points.select("id", "x", "d").mapInArrow(scan, "id long, cells binary, d int").select("d", every(qb).alias("qb"), block(vb, 1).alias("vb"), "id", "cells", F.lit(None).cast("array<double>").alias("x"))
@@ -141,11 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, store: Tables, k: int = 20, scal
             q = _rows(x, qs, size)
             codes = np.frombuffer(b"".join(table["cells"].take(pa.array(vs)).to_pylist()), dtype=np.uint8).reshape(len(vs), size)
             low, width = cells.get(size, (np.zeros(0), np.zeros(0)))
-            for lo in range(0, len(qs), 256):
-                lower, upper = bounds(q[lo : lo + 256], codes, low, width)
-                least = np.partition(lower, len(vs) - k - 1, axis=1)[:, len(vs) - k - 1] if len(vs) > k + 1 else np.full(len(lower), -np.inf)
-                i, j = np.nonzero(upper >= least[:, None])
-                out.append((ids[qs[lo + i]], ids[vs[j]], lower[i, j], upper[i, j]))
+            out = [(ids[qs[i]], ids[vs[j]], lower, upper) for i, j, lower, upper in near_in_block(q, codes, low, width, k)]
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)] * 2
         return pa.table({name: pa.array(c) for name, c in zip(("q", "id", "lower", "upper"), columns)})
 

@@ -7,8 +7,11 @@ import pyarrow.parquet as pq
 import pytest
 
 from cohesio import queries
+from cohesio.llm import va_search
 from cohesio.operators import pairs
-from cohesio.plans import sequential
+from cohesio.plans import rounds, sequential
+from cohesio.sources.problem import Problem
+from cohesio.storage import Tables
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +78,31 @@ def test_matrix_with_ties():
     """The ways agree where many weights are equal, so that stale rows lead."""
     x = np.round(np.random.default_rng(8).normal(size=(150, 3)), 1)
     assert sequential.by_matrix(x, 0.1)[0].tolist() == sequential.by_nearest(x, 0.1)[0].tolist()
+
+
+def test_bounds_in_single_precision():
+    """A block keeps all that its bounds in double can't exclude, and little more; scores lie in the bounds."""
+    x = np.floor(np.random.default_rng(4).normal(size=(5_000, 16)) * 3_000)
+    low, width = x.min(axis=0), np.ceil(x.max(axis=0) / 256 - x.min(axis=0) / 256 + 1 / 256)
+    codes, q = va_search.approximate(x, low, width), x[:70]
+    i, j, lower, upper = (np.concatenate(c) for c in zip(*va_search.near_in_block(q, codes, low, width, 20)))
+    below, above = va_search.bounds(q, codes, low, width)
+    must = set(zip(*(c.tolist() for c in np.nonzero(above >= np.partition(below, 4_979, axis=1)[:, [4_979]]))))
+    have = set(zip(i.tolist(), j.tolist()))
+    assert must <= have and len(have) == len(i) < 1.1 * len(must)
+    exact = (q[i] * x[j]).sum(axis=1)
+    assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_steps_write_edges_of_the_union_alone(spark, monkeypatch):
+    x = np.random.default_rng(5).uniform(-1, 1, (60, 4))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, features array<double>")
+    rows, call = [], Tables.__call__
+
+    def counted(self, df, name):
+        rows.append((kept := call(self, df, name)).count())
+        return kept
+
+    monkeypatch.setattr(Tables, "__call__", counted)
+    found = rounds.sequential_by_edges(Problem(nodes, 0.0), 3)
+    assert rows == [1770, 58, 57, 56] and found.select("cluster").distinct().count() == 57
