@@ -1,5 +1,7 @@
 """What keeps queries within their limits on larger tables, on small ones."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import pytest
 
 from cohesio import queries
 from cohesio.llm import va_search
-from cohesio.operators import pairs
+from cohesio.operators import neighbours, pairs
 from cohesio.plans import rounds, sequential
 from cohesio.sources.problem import Problem
 from cohesio.storage import Tables
@@ -106,3 +108,37 @@ def test_steps_write_edges_of_the_union_alone(spark, monkeypatch):
     monkeypatch.setattr(Tables, "__call__", counted)
     found = rounds.sequential_by_edges(Problem(nodes, 0.0), 3)
     assert rows == [1770, 58, 57, 56] and found.select("cluster").distinct().count() == 57
+
+
+def test_matrix_holds_a_pair_once():
+    """Several instances share an executor, so each takes about four bytes a pair of ids."""
+    x = np.random.default_rng(2).normal(size=(1_500, 4))
+    tracemalloc.start()
+    sequential.by_matrix(x, 9.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 1_500**2
+
+
+def test_search_leaves_out_by_single_precision():
+    """Rows are those of doubles, also with copies, sizes and fewer columns than groups."""
+    rng = np.random.default_rng(6)
+    for n, k in ((30, 3), (900, 1), (900, 3)):
+        x, size, ids = rng.normal(size=(n, 12)), rng.integers(1, 9, n), rng.permutation(n)
+        x[: n // 10], x = x[0], x * size[:, None]
+        size[: n // 10] = size[0]
+        x[: n // 10] = x[0]
+        t = pa.table({"cluster": ids, "size": size, "fsum": pa.array(list(x), type=pa.list_(pa.float64()))})
+        both = pa.concat_tables([t.append_column("is_query", pa.array([q] * n)) for q in (True, False)])
+        got = neighbours.best_in_block(both, k, 0.2, 6)
+        w = np.round(x @ x.T - 0.2 * np.outer(size, size), 6)
+        want = {(int(ids[i]), int(ids[j])) for i in range(n) for j in sorted((j for j in range(n) if j != i), key=lambda j: (-w[i, j], ids[j]))[:k]}
+        assert set(zip(got["i"].to_pylist(), got["j"].to_pylist())) == want and got.num_rows == n * k
+
+
+def test_few_products_are_weighed_in_double():
+    rng = np.random.default_rng(9)
+    q, base = rng.normal(size=(100, 12)), rng.normal(size=(4_096, 12))
+    longest = float(np.sqrt((base**2).sum(axis=1).max()))
+    found = neighbours.candidates_of(q, base.astype(np.float32), 4_096, longest, (np.arange(100), np.arange(100)), 1)
+    assert 100 <= len(found[0]) < 300
