@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,35 +60,83 @@ def matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return x, size
 
 
-def pair_weights(nodes: DataFrame, offset: float, places: int | None = None, block_rows: int = 1024) -> DataFrame:
-    """a, b, w of all pairs a < b, by matrix products. It is quadratic by nature: for instances meant to have an
-    explicit graph.
+#: What becomes of a strip of a unit: ids and clusters of its rows and columns (the latter None without labels), w, which
+#: places are pairs (None: all), which of their weights are null (None: none).
+Give = Callable[[tuple[np.ndarray, np.ndarray], tuple[pa.Array, pa.Array] | None, np.ndarray, np.ndarray | None, np.ndarray | None], pa.RecordBatch]
+
+
+def over_pairs(nodes: DataFrame, offset: float, give: Give, kinds: str, places: int | None = None, block_rows: int = 1024, clusters: bool = False) -> DataFrame:
+    """What ``give`` makes of all pairs a < b and their weights, by matrix products.
 
-    Every two blocks of nodes are a unit, so that a pair is looked at once; a unit gives its pairs in parts of at most
-    256 rows of a block. As in SQL, w is null where a vector or one of its components is, or where lengths differ.
+    Every two blocks of nodes are a unit, so that a pair is looked at once; a unit goes through strips of at most 256 rows
+    of a block. As in SQL, w is null where a vector or one of its components is, or where lengths differ. With
+    ``clusters`` the nodes have a column cluster.
     """
     blocks = blocks_for(nodes.count(), block_rows)
     block = F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")
-    own = nodes.where("node_id is not null").select("node_id", "features", block.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    units = own.select("node_id", "features", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    columns = ["node_id", "features", *["cluster"] * clusters]
+    own = nodes.where("node_id is not null").select(*columns, block.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = own.select(*columns, "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).sort_by("node_id")
         ids, home, p, q = (table[c].to_numpy() for c in ("node_id", "own", "p", "q"))
+        group = table["cluster"].combine_chunks() if clusters else None
         x, size = matrix(table["features"])
         one, uneven = p[0] == q[0], (size != max(0, size[0])).any()
         left = np.flatnonzero(home == p)
         right = left if one else np.flatnonzero(home == q)
-        for lo in range(0, len(left), 256):
+        for lo in range(0, len(left) if len(right) else 0, 256):
             rows = left[lo : lo + 256]
             w = rounded(x[rows] @ x[right].T - offset, places)
             # Ids of two blocks differ; within one a pair is taken in ascending order, and equal ids are none.
-            i, j = np.nonzero(ids[rows][:, None] < ids[right][None, :] if one else np.ones(w.shape, dtype=bool))
-            w, i, j = w[i, j], rows[i], right[j]
-            void = (size[i] != size[j]) | (size[i] < 0) if uneven else None
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(w, mask=void)], names=["a", "b", "w"])
+            asked = ids[rows][:, None] < ids[right][None, :] if one else None
+            void = (size[rows][:, None] != size[right][None, :]) | (size[rows] < 0)[:, None] if uneven else None
+            yield give((ids[rows], ids[right]), (group.take(pa.array(rows)), group.take(pa.array(right))) if clusters else None, w, asked, void)
+
+    return units.groupBy("p", "q").applyInArrow(unit, kinds)
+
+
+def large_blocks(nodes: DataFrame) -> int:
+    """Rows of a block where units give little: some 78 units or more, and a vector sent about 12 times at most, as long
+    as blocks needn't be larger than 8192."""
+    return min(8192, max(1024, -(-nodes.count() // 12)))
+
+
+def _edges(ids: tuple[np.ndarray, np.ndarray], w: np.ndarray, i: np.ndarray, j: np.ndarray, void: np.ndarray | None) -> pa.RecordBatch:
+    a, b = ids[0][i], ids[1][j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w[i, j], mask=void[i, j] if void is not None else None)], names=["a", "b", "w"])
+
+
+EDGES = "a long, b long, w double"
+
+
+def pair_weights(nodes: DataFrame, offset: float, places: int | None = None, block_rows: int = 1024) -> DataFrame:
+    """a, b, w of all pairs a < b. It is quadratic by nature: for instances meant to have an explicit graph."""
+
+    def give(ids, _, w, asked, void):
+        return _edges(ids, w, *np.nonzero(asked if asked is not None else np.ones(w.shape, dtype=bool)), void)
+
+    return over_pairs(nodes, offset, give, EDGES, places, block_rows)
+
+
+def best_pair(nodes: DataFrame, offset: float, places: int | None = None) -> DataFrame:
+    """best_edge(pair_weights(...)): each strip gives its best edge, and the best of these is the best of all."""
+
+    def give(ids, _, w, asked, void):
+        order = np.where(np.isnan(w), np.inf, w)  # NaN goes before all, null behind all
+        if void is not None:
+            order[void] = -np.inf
+        if asked is not None:
+            there = asked & (order == order[asked].max(initial=-np.inf))
+        else:
+            there = order == order.max()
+        found = _edges(ids, w, *np.nonzero(there), void)
+        # Of equal ones, among which may be NaN or null, the first as SQL orders them.
+        rank = pa.array(np.where(np.asarray(found["w"].is_null()), 2, np.where(np.isnan(found["w"].fill_null(0.0).to_numpy(zero_copy_only=False)), 0, 1)))
+        return pa.RecordBatch.from_arrays([*found.columns, rank], names=["a", "b", "w", "r"]).sort_by([("r", "ascending"), ("a", "ascending"), ("b", "ascending")]).slice(0, 1).select(["a", "b", "w"])
 
-    return units.groupBy("p", "q").applyInArrow(unit, "a long, b long, w double")
+    return best_edge(over_pairs(nodes, offset, give, EDGES, places, large_blocks(nodes)))
 
 
 def positive(edges: DataFrame) -> DataFrame:

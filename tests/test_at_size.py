@@ -10,7 +10,7 @@ import pytest
 
 from cohesio import queries
 from cohesio.llm import va_search
-from cohesio.operators import neighbours, pairs
+from cohesio.operators import neighbours, objective, pairs
 from cohesio.plans import rounds, sequential
 from cohesio.sources.problem import Problem
 from cohesio.storage import Tables
@@ -53,6 +53,34 @@ def test_pairs_by_products(spark, table, name):
     agrees(spark, table, name)
 
 
+ODD = [(1, [1.0, 2.0], 1), (2, None, 2), (3, [1.0, None], 1), (4, [1.0], None), (5, [0.5, 0.25], 2), (5, [3.0, 0.0], 1), (None, [1.0, 1.0], 2), (6, [], 3), (7, [0.5, 0.0], 2)]
+
+
+def odd(spark):
+    """Nodes and labels with nulls, uneven lengths and a repeated id."""
+    rows = spark.createDataFrame(ODD, "node_id long, features array<double>, cluster long")
+    return rows.select("node_id", "features"), rows.select("node_id", "cluster").where("node_id <> 5").unionByName(spark.createDataFrame([(5, 2)], "node_id long, cluster long"))
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def no_pairs(*_):
+    raise AssertionError("pairs leave their task")
+
+
+def test_best_edge_within_units(spark, table, monkeypatch):
+    nodes, _ = odd(spark)
+    want = rows_of(pairs.best_edge(pairs.pair_weights(nodes, 0.5, 1)))
+    assert rows_of(pairs.best_pair(nodes, 0.5, 1)) == want == [(1, 5, 2.5)]
+    voids = nodes.where("node_id in (2, 3, 4)")
+    assert rows_of(pairs.best_pair(voids, 0.5, 1)) == rows_of(pairs.best_edge(pairs.pair_weights(voids, 0.5, 1))) == [(2, 3, None)]
+    assert rows_of(pairs.best_pair(nodes.limit(0), 0.5, 1)) == []
+    monkeypatch.setattr(pairs, "pair_weights", no_pairs)
+    agrees(spark, table, "best_edge")
+
+
 def test_pairs_of_odd_rows(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.5, 0.25]), (5, [3.0, 0.0]), (None, [1.0, 1.0]), (6, [])]
     nodes = spark.createDataFrame(rows, "node_id long, features array<double>")
