@@ -139,6 +139,37 @@ def best_pair(nodes: DataFrame, offset: float, places: int | None = None) -> Dat
     return best_edge(over_pairs(nodes, offset, give, EDGES, places, large_blocks(nodes)))
 
 
+def cluster_edges(nodes: DataFrame, labels: DataFrame, offset: float, places: int | None = None) -> DataFrame:
+    """contract_edges(pair_weights(...), labels): each strip's pairs are summed by their clusters where they are weighed."""
+
+    def give(_, groups, w, asked, void):
+        pairs = np.ones(w.shape, dtype=bool) if asked is None else asked
+        held = pairs if void is None else pairs & ~void
+        w[~held] = 0.0
+        codes = [g.dictionary_encode() for g in groups]
+        some = [np.asarray(c.indices.fill_null(-1)) for c in codes]
+        order = [np.argsort(c, kind="stable") for c in some]
+        start = [np.flatnonzero(np.diff(c[o], prepend=-2)) for c, o in zip(some, order)]
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(np.add.reduceat(x[order[0]][:, order[1]], start[0], axis=0), start[1], axis=1)
+
+        total, n, n_held = summed(w), summed(pairs.astype(np.int64)), summed(held.astype(np.int64))
+        i, j = np.nonzero(n)
+        # The places of clusters; a node without one (-1) takes no part.
+        at = [c[o][s] for c, o, s in zip(some, order, start)]
+        fine = (at[0][i] >= 0) & (at[1][j] >= 0)
+        i, j = i[fine], j[fine]
+        a, b = (np.asarray(c.dictionary)[k] for c, k in zip(codes, (at[0][i], at[1][j])))
+        fine = a != b
+        i, j, a, b = i[fine], j[fine], a[fine], b[fine]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(total[i, j], mask=n_held[i, j] == 0)], names=["a", "b", "w"])
+
+    own = nodes.join(labels.select("node_id", F.col("cluster").cast("long").alias("cluster")), "node_id")
+    w = F.sum("w")
+    return over_pairs(own, offset, give, EDGES, None, large_blocks(own), True).groupBy("a", "b").agg((F.round(w, places) if places is not None else w).alias("w"))
+
+
 def positive(edges: DataFrame) -> DataFrame:
     """Edges that may be contracted: of weight strictly over 0."""
     return edges.where("w > 0")

@@ -81,6 +81,13 @@ def test_best_edge_within_units(spark, table, monkeypatch):
     agrees(spark, table, "best_edge")
 
 
+def test_edges_contracted_within_units(spark, table, monkeypatch):
+    nodes, labels = odd(spark)
+    assert rows_of(pairs.cluster_edges(nodes, labels, 0.5, 1)) == rows_of(pairs.contract_edges(pairs.pair_weights(nodes, 0.5), labels, 1))
+    monkeypatch.setattr(pairs, "pair_weights", no_pairs)
+    agrees(spark, table, "contract_edges")
+
+
 def test_pairs_of_odd_rows(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.5, 0.25]), (5, [3.0, 0.0]), (None, [1.0, 1.0]), (6, [])]
     nodes = spark.createDataFrame(rows, "node_id long, features array<double>")
