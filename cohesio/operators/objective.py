@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohesio.functions.vectors import weight
-from cohesio.operators.pairs import all_meet, blocks_for, pair_weights
+from cohesio.operators.pairs import all_meet, blocks_for, cut_cost
 
 
 def group_weights(nodes: DataFrame, offset: float, by: list[str]) -> DataFrame:
@@ -35,9 +35,7 @@ def labeling_cost(nodes: DataFrame, labels: DataFrame, offset: float) -> DataFra
 
 def labeling_cost_by_pairs(nodes: DataFrame, labels: DataFrame, offset: float) -> DataFrame:
     """cost by its definition over all pairs; quadratic, for checks on small instances."""
-    ends = [labels.select(F.col("node_id").alias(e), F.col("cluster").alias(f"cluster_{e}")) for e in "ab"]
-    both = pair_weights(nodes, offset).join(ends[0], "a").join(ends[1], "b")
-    return both.where("cluster_a <> cluster_b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cost"))
+    return cut_cost(nodes, labels, offset)
 
 
 def cluster_count(labels: DataFrame) -> DataFrame:

@@ -170,6 +170,24 @@ def cluster_edges(nodes: DataFrame, labels: DataFrame, offset: float, places: in
     return over_pairs(own, offset, give, EDGES, None, large_blocks(own), True).groupBy("a", "b").agg((F.round(w, places) if places is not None else w).alias("w"))
 
 
+def cut_cost(nodes: DataFrame, labels: DataFrame, offset: float) -> DataFrame:
+    """cost: the weights of all pairs in two clusters; each strip gives one sum."""
+
+    def give(_, groups, w, asked, void):
+        one, two = (np.asarray(g.fill_null(0)) for g in groups)
+        gone, other = (np.asarray(g.is_null()) for g in groups)
+        none = (one[:, None] == two[None, :]) | gone[:, None] | other[None, :]
+        if asked is not None:
+            none |= ~asked
+        if void is not None:
+            none |= void
+        w[none] = 0.0
+        return pa.RecordBatch.from_arrays([pa.array([float(w.sum())])], names=["w"])
+
+    own = nodes.join(labels.select("node_id", F.col("cluster").cast("long").alias("cluster")), "node_id")
+    return over_pairs(own, offset, give, "w double", None, large_blocks(own), True).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("cost"))
+
+
 def positive(edges: DataFrame) -> DataFrame:
     """Edges that may be contracted: of weight strictly over 0."""
     return edges.where("w > 0")

@@ -88,6 +88,16 @@ def test_edges_contracted_within_units(spark, table, monkeypatch):
     agrees(spark, table, "contract_edges")
 
 
+def test_cost_within_units(spark, table, monkeypatch):
+    nodes, labels = odd(spark)
+    want = pairs.contract_edges(pairs.pair_weights(nodes, 0.5), labels).selectExpr("round(coalesce(sum(w), 0), 6)").first()[0]
+    assert objective.labeling_cost_by_pairs(nodes, labels, 0.5).first()[0] == pytest.approx(want)
+    assert objective.labeling_cost_by_pairs(nodes.limit(0), labels, 0.5).first()[0] == 0
+    monkeypatch.setattr(pairs, "pair_weights", no_pairs)
+    monkeypatch.setattr(objective, "pair_weights", no_pairs, raising=False)
+    agrees(spark, table, "labeling_cost")
+
+
 def test_pairs_of_odd_rows(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.5, 0.25]), (5, [3.0, 0.0]), (None, [1.0, 1.0]), (6, [])]
     nodes = spark.createDataFrame(rows, "node_id long, features array<double>")
