@@ -120,6 +120,19 @@ def pair_weights(nodes: DataFrame, offset: float, places: int | None = None, blo
     return over_pairs(nodes, offset, give, EDGES, places, block_rows)
 
 
+def weights_over(nodes: DataFrame, offset: float, places: int | None = None, zero: bool = False) -> DataFrame:
+    """positive(pair_weights(...)), or non_negative where ``zero``; the others don't leave the products' task."""
+
+    def give(ids, _, w, asked, void):
+        over = ~(w < 0 if zero else w <= 0)  # NaN is the largest, as in SQL
+        for part in (asked, ~void if void is not None else None):
+            if part is not None:
+                over &= part
+        return _edges(ids, w, *np.nonzero(over), None)
+
+    return over_pairs(nodes, offset, give, EDGES, places, large_blocks(nodes))
+
+
 def best_pair(nodes: DataFrame, offset: float, places: int | None = None) -> DataFrame:
     """best_edge(pair_weights(...)): each strip gives its best edge, and the best of these is the best of all."""
 
