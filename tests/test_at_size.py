@@ -142,6 +142,15 @@ def test_matrix_with_ties():
     assert sequential.by_matrix(x, 0.1)[0].tolist() == sequential.by_nearest(x, 0.1)[0].tolist()
 
 
+@pytest.mark.parametrize("way", ["dense_gaec"])
+def test_sequential_rows_are_held(way, monkeypatch):
+    """Most steps find the rows of weights they need at hand, and places that move change nothing."""
+    x, calls, need = np.random.default_rng(7).normal(size=(900, 6)), [], sequential._Rows.need
+    monkeypatch.setattr(sequential._Rows, "need", lambda *a: (calls.append(1), need(*a)))
+    label, done = sequential.WAYS[way](x, 0.2, *((5, 5) if way == "dense_gaec_inc" else ()))
+    assert label.tolist() == sequential.by_matrix(x, 0.2)[0].tolist() and 0 < len(calls) < len(done)
+
+
 def test_bounds_in_single_precision():
     """A block keeps all that its bounds in double can't exclude, and little more; scores lie in the bounds."""
     x = np.floor(np.random.default_rng(4).normal(size=(5_000, 16)) * 3_000)
