@@ -142,7 +142,7 @@ def test_matrix_with_ties():
     assert sequential.by_matrix(x, 0.1)[0].tolist() == sequential.by_nearest(x, 0.1)[0].tolist()
 
 
-@pytest.mark.parametrize("way", ["dense_gaec"])
+@pytest.mark.parametrize("way", ["dense_gaec", "dense_gaec_inc"])
 def test_sequential_rows_are_held(way, monkeypatch):
     """Most steps find the rows of weights they need at hand, and places that move change nothing."""
     x, calls, need = np.random.default_rng(7).normal(size=(900, 6)), [], sequential._Rows.need
