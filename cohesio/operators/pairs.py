@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from cohesio.storage import Tables
 
 
-def all_meet(x: DataFrame, y: DataFrame, x_key: str, y_key: str, x_blocks: int, y_blocks: int) -> DataFrame:
+def all_meet(x: DataFrame, y: DataFrame, x_key: str, y_key: str, x_blocks: int, y_blocks: int, tasks: int | None = None) -> DataFrame:
     """Every row of x with every row of y, as an equi-join on pairs of blocks: a task gets one block of each.
 
-    No side is broadcast or held whole, and a row is sent once for each block it meets.
+    No side is broadcast or held whole, and a row is sent once for each block it meets. ``tasks`` keeps so many from
+    being put together.
     """
     block = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = x.withColumn("_bx", block(x_key, x_blocks)).withColumn("_by", every(y_blocks))
     right = y.withColumn("_by", block(y_key, y_blocks)).withColumn("_bx", every(x_blocks))
+    if tasks:
+        left, right = (side.repartition(tasks, "_bx", "_by") for side in (left, right))
     return left.join(right, ["_bx", "_by"]).drop("_bx", "_by")
 
 

@@ -211,3 +211,15 @@ def test_few_products_are_weighed_in_double():
     longest = float(np.sqrt((base**2).sum(axis=1).max()))
     found = neighbours.candidates_of(q, base.astype(np.float32), 4_096, longest, (np.arange(100), np.arange(100)), 1)
     assert 100 <= len(found[0]) < 300
+
+
+def test_search_by_columns(spark, table):
+    """Whole vectors are columns, and no weight passes through functions on arrays; others keep the general way."""
+    assert "zip_with" not in plan(queries.QUERIES["knn5_expr"](spark, str(table)))
+    agrees(spark, table, "knn5_expr")
+    rows = [(1, 1, [1.0, 2.0]), (2, 1, [2.0, 1.0]), (3, 2, [1.0, 1.0]), (4, 1, [1.0, None])]
+    clusters = spark.createDataFrame(rows, "cluster long, size long, fsum array<double>")
+    index = neighbours.Index("expr")
+    assert "zip_with" in plan(neighbours.nearest(clusters, 2, 0.5, index))
+    whole = clusters.where("cluster < 4")
+    assert rows_of(neighbours.nearest(whole, 5, 0.5, index)) == rows_of(neighbours.nearest(whole, 5, 0.5))
