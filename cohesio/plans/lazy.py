@@ -22,58 +22,59 @@ from cohesio.plans.rounds import Solution
 from cohesio.sources.problem import Problem
 from cohesio.storage import keeper
 
-Edges = dict[tuple[int, int], float]
+#: Positions a < b and weights of a graph's edges, each pair once.
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def nearest_here(size: np.ndarray, x: np.ndarray, k: int, offset: float, places: int) -> Edges:
-    """Positive edges (positions a < b, w) of the k-nearest-neighbour graph of clusters in memory."""
-    out: Edges = {}
+    """Positive edges of the k-nearest-neighbour graph of clusters in memory."""
+    found = []
     for lo in range(0, len(x), 512):
         w = np.round(x[lo : lo + 512] @ x.T - offset * size[lo : lo + 512, None] * size[None, :], places)
         w[np.arange(len(w)), np.arange(lo, lo + len(w))] = -np.inf
-        for i, row in enumerate(w):
-            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-            for j in at[np.lexsort((at, -row[at]))][:k].tolist():
-                if row[j] > 0:
-                    out[min(i + lo, j), max(i + lo, j)] = float(row[j])
-    return out
-
-
-def capped_here(edges: Edges, cap: int) -> Edges:
-    """Edges that are among the best ``cap`` at one of their ends, in memory."""
-    near: dict[int, list[tuple[float, int]]] = {}
-    for (a, b), w in edges.items():
-        near.setdefault(a, []).append((-w, b))
-        near.setdefault(b, []).append((-w, a))
-    kept = {(min(i, j), max(i, j)) for i, others in near.items() for _, j in sorted(others)[:cap]}
-    return {e: w for e, w in edges.items() if e in kept}
-
-
-def mutual_here(edges: Edges) -> list[tuple[int, int]]:
-    """The edges that are the best at both of their ends, in memory."""
-    best: dict[int, tuple[float, int]] = {}
-    for (a, b), w in edges.items():
-        for i, j in ((a, b), (b, a)):
-            if i not in best or (-w, j) < best[i]:
-                best[i] = (-w, j)
-    return [(a, b) for a, b in edges if best[a][1] == b and best[b][1] == a]
+        i, j = np.nonzero((w >= np.partition(w, len(x) - k, axis=1)[:, [len(x) - k]]) & (w > 0))
+        v = w[i, j]
+        order = np.lexsort((j, -v, i))
+        i, j, v = i[order], j[order], v[order]
+        fine = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[fine] + lo, j[fine], v[fine]))
+    i, j, v = (np.concatenate(c) for c in zip(*found))
+    pair, at = np.unique(np.minimum(i, j) * len(x) + np.maximum(i, j), return_index=True)
+    return pair // len(x), pair % len(x), v[at]
+
+
+def ranked_here(edges: Edges) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge its place, from 0, among the edges at either of its ends: by weight, ties to the smaller neighbour."""
+    a, b, w = edges
+    i, j = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((j, -np.concatenate([w, w]), i))
+    own = i[order]
+    place = np.empty(len(i), dtype=np.int64)
+    place[order] = np.arange(len(i)) - np.searchsorted(own, own)
+    return place[: len(a)], place[len(a) :]
 
 
 def contract_here(size: np.ndarray, x: np.ndarray, edges: Edges, offset: float, cap: int, places: int) -> np.ndarray:
     """The cluster of each position after all contractions within a graph in memory; size and x are added up in place."""
-    to = np.arange(len(x))
-    while edges:
-        merged = {b: a for a, b in mutual_here(edges)}
-        for b, a in merged.items():
-            size[a] += size[b]
-            x[a] += x[b]
-        step = np.arange(len(x))
-        step[list(merged)] = list(merged.values())
+    to, n = np.arange(len(x)), len(x)
+    while len(edges[0]):
+        at_a, at_b = ranked_here(edges)
+        best = (at_a == 0) & (at_b == 0)
+        a, b = edges[0][best], edges[1][best]
+        size[a] += size[b]
+        x[a] += x[b]
+        step = np.arange(n)
+        step[b] = a
         to = step[to]
-        ends = {(min(p), max(p)) for p in ((int(step[a]), int(step[b])) for a, b in edges) if p[0] != p[1]}
-        a, b = (np.array([e[k] for e in sorted(ends)], dtype=np.int64) for k in (0, 1))
+        p, q = step[edges[0]], step[edges[1]]
+        pair = np.unique((np.minimum(p, q) * n + np.maximum(p, q))[p != q])
+        a, b = pair // n, pair % n
         w = np.round(np.einsum("ij,ij->i", x[a], x[b]) - offset * size[a] * size[b], places)
-        edges = capped_here({(p, q): v for p, q, v in zip(a.tolist(), b.tolist(), w.tolist()) if v > 0}, cap)
+        over = w > 0
+        edges = a[over], b[over], w[over]
+        at_a, at_b = ranked_here(edges)
+        kept = (at_a < cap) | (at_b < cap)
+        edges = tuple(c[kept] for c in edges)
     return to
 
 
@@ -86,7 +87,7 @@ def finish(clusters: DataFrame, k: int, cap: int, offset: float, places: int) ->
         size, x, final, now, counts = size.copy(), x.copy(), np.arange(len(ids)), np.arange(len(ids)), []
         while len(now) > 1:
             edges = nearest_here(size[now], x[now], min(k, len(now) - 1), offset, places)
-            if not edges:
+            if not len(edges[0]):
                 break
             sizes, sums = size[now], x[now]
             to = contract_here(sizes, sums, edges, offset, cap, places)
@@ -102,13 +103,14 @@ def finish(clusters: DataFrame, k: int, cap: int, offset: float, places: int) ->
 
 
 def contracted_in_task(clusters: DataFrame, graph: DataFrame, offset: float, cap: int, places: int) -> DataFrame:
-    """cluster, to, size, fsum: the clusters after all contractions within a graph, in one task; for few clusters."""
+    """cluster, to, size, fsum: the clusters after all contractions within a graph, in one task; for few edges and
+    the clusters at their ends."""
 
     def one(vectors: pa.Table, edges: pa.Table) -> pa.Table:
         ids, size, x = neighbours._matrix(vectors.sort_by("cluster"))
         size, x = size.copy(), x.copy()
-        a, b = (np.searchsorted(ids, edges[c].to_numpy()).tolist() for c in ("a", "b"))
-        to = contract_here(size, x, dict(zip(zip(a, b), edges["w"].to_pylist())), offset, cap, places)
+        a, b = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("a", "b"))
+        to = contract_here(size, x, (a, b, edges["w"].to_numpy()), offset, cap, places)
         sums = pa.array([v.tolist() for v in x], type=pa.list_(pa.float64()))
         return pa.table({"cluster": pa.array(ids), "to": pa.array(ids[to]), "size": pa.array(size.astype(np.int64)), "fsum": sums})
 
@@ -129,9 +131,24 @@ def capped(graph: DataFrame, cap: int) -> DataFrame:
     return best.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
 
 
-def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbours.Index = "brute_force", later: str | neighbours.Index | None = None, small_nodes: int = 4096, places: int = 9, most_rounds: int = 10_000) -> Solution:
+def renamed(graph: DataFrame, merged: DataFrame) -> DataFrame:
+    """The distinct pairs a < b that a graph's edges are between after the merges."""
+    to = [merged.select(F.col("b").alias(e), F.col("a").alias(f"_{e}")) for e in "ab"]
+    ends = graph.select("a", "b").join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("_a", "a").alias("p"), F.coalesce("_b", "b").alias("q"))
+    return ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+#: A graph that is down to so many edges is contracted to its end by one task; labels are stored after so many steps.
+FEW_EDGES, STEPS_KEPT = 20_480, 8
+
+
+def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbours.Index = "brute_force", later: str | neighbours.Index | None = None, small_nodes: int = 4096, places: int = 9, most_rounds: int = 10_000, small_edges: int = FEW_EDGES) -> Solution:
     """Lazy contraction; ``later`` is the index from the second graph on. Once at most ``small_nodes`` clusters are left
-    and the index is exact, one task does all the rest by the same rule. Weights are rounded to ``places``."""
+    and the index is exact, one task does all the rest by the same rule. Weights are rounded to ``places``.
+
+    Where a cluster grows by its neighbours one at a time, a graph has hundreds of steps with few edges: from ``small_edges``
+    on, one task does its remaining steps. It gets those edges and the clusters at their ends alone, whatever their number
+    in all."""
     keep = keeper(problem.nodes.sparkSession, "lazy")
     first, then = (neighbours.parse_index(x) if isinstance(x, str) else x for x in (index, later or index))
     clusters, labels, rounds = keep(problem.clusters(), "clusters-0"), problem.nodes.select("node_id", F.col("node_id").alias("cluster")), []
@@ -143,24 +160,24 @@ def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbou
             last = keep(finish(clusters, k, cap, problem.offset, places), "last")
             moved = last.where("to <> cluster").select(F.col("to").alias("a"), F.col("cluster").alias("b"))
             return Solution(problem, contraction.relabelled(labels, moved), rounds + list(last.select("rounds").first()["rounds"]))
-        near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then, places=places)
+        near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then, places=places, n=(n, n))
         graph, step = keep(matching.candidates(near.withColumn("w", F.round("w", places))), f"graph-{build}"), 0
         before = n
-        if n <= small_nodes and not graph.isEmpty():  # the same steps in one task
-            done = keep(contracted_in_task(clusters, graph, problem.offset, cap, places), f"done-{build}")
-            labels = keep(contraction.relabelled(labels, done.where("cluster <> to").select(F.col("to").alias("a"), F.col("cluster").alias("b"))), f"labels-{build}")
-            clusters = keep(done.where("cluster = to").drop("to"), f"clusters-{build}")
-            graph = graph.limit(0)
-        while not graph.isEmpty():
+        while (edges := graph.count()) > small_edges:
             step += 1
             tag = f"{build}-{step}"
             merged = keep(matching.mutual_best(graph).select("a", "b"), f"merged-{tag}")
-            labels = keep(contraction.relabelled(labels, merged), f"labels-{tag}")
+            labels = contraction.relabelled(labels, merged)
+            labels = keep(labels, f"labels-{tag}") if step % STEPS_KEPT == 0 else labels
             clusters = keep(contraction.contracted(clusters, merged), f"clusters-{tag}")
-            ends = graph.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().select("node_id", F.col("node_id").alias("cluster"))
-            moved = pairs.contract_edges(graph, contraction.relabelled(ends, merged)).select("a", "b")
-            weights = weighed(moved, clusters, problem.offset).withColumn("w", F.round("w", places))
+            weights = weighed(renamed(graph, merged), clusters, problem.offset).withColumn("w", F.round("w", places))
             graph = keep(capped(pairs.positive(weights), cap), f"graph-{tag}")
+        if edges:
+            ends = graph.select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
+            done = keep(contracted_in_task(clusters.join(ends, "cluster", "left_semi"), graph, problem.offset, cap, places), f"done-{build}")
+            labels = contraction.relabelled(labels, done.where("cluster <> to").select(F.col("to").alias("a"), F.col("cluster").alias("b")))
+            clusters = keep(clusters.join(ends, "cluster", "left_anti").unionByName(done.where("cluster = to").drop("to")), f"clusters-{build}")
+        labels = keep(labels, f"labels-{build}")
         n = clusters.count()
         if n == before:
             break

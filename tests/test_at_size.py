@@ -11,9 +11,10 @@ import pytest
 from cohesio import queries
 from cohesio.llm import va_search
 from cohesio.operators import neighbours, objective, pairs
-from cohesio.plans import rounds, sequential
+from cohesio.plans import lazy, rounds, sequential
 from cohesio.sources.problem import Problem
 from cohesio.storage import Tables
+from tests.test_engine import labels_of, literal_lazy, problem
 
 
 @pytest.fixture(scope="module")
@@ -236,3 +237,34 @@ def test_rounds_store_little(spark, monkeypatch):
     assert len(names) == 1 + 4 * len(found.rounds) + 2 and told[0] == (60, 60) and told[-1] == (found.clusters(),) * 2
     monkeypatch.undo()
     assert rows_of(found.labels) == rows_of(rounds.parallel_gaec(Problem(nodes, 0.2)).labels)
+
+
+def hub(n=40):
+    """A vector that takes in n others one at a time, as none of these is positive to another."""
+    x = np.zeros((n + 1, n + 1))
+    x[0, 0], x[1:, 0] = 5.0, np.random.default_rng(4).uniform(0.38, 0.4, n)
+    x[np.arange(1, n + 1), np.arange(1, n + 1)] = 0.5
+    return x
+
+
+LAZY = {"dense_laec": {"small_nodes": 20}}
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_lazy_steps_on_few_edges(spark, monkeypatch, name):
+    x, names, put = hub(), [], Tables.__call__
+    monkeypatch.setattr(Tables, "__call__", lambda self, df, name: names.append(name) or put(self, df, name))
+    p, (want, rounds_) = problem(spark, x, 0.2), literal_lazy(x, 0.2, 5, 5)
+    found = lazy.dense_laec(p, **LAZY[name])
+    assert labels_of(found.labels) == want and found.rounds == rounds_ and rounds_[0] > 30
+    assert len(names) < 12
+    names.clear()
+    found = lazy.dense_laec(p, **LAZY[name], small_edges=34)
+    assert labels_of(found.labels) == want and found.rounds == rounds_ and any(x.startswith("merged-1-") for x in names)
+
+
+def test_lazy_steps_spread(spark):
+    x = np.random.default_rng(12).uniform(-1, 1, (50, 5))
+    p, (want, rounds_) = problem(spark, x, 0.3), literal_lazy(x, 0.3, 3, 2)
+    found = lazy.dense_laec(p, 3, 2, small_nodes=0, small_edges=0)
+    assert labels_of(found.labels) == want and found.rounds == rounds_
