@@ -247,7 +247,10 @@ def hub(n=40):
     return x
 
 
-LAZY = {"dense_laec": {"small_nodes": 20}}
+LAZY = {
+    "dense_laec": {"small_nodes": 20},
+    "dense_laec_bf_later": {"index": neighbours.Index("ivf", 4, 4), "later": "faiss_brute_force", "small_nodes": 20},
+}
 
 
 @pytest.mark.parametrize("name", LAZY)
