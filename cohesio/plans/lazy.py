@@ -118,24 +118,38 @@ def contracted_in_task(clusters: DataFrame, graph: DataFrame, offset: float, cap
     return clusters.select("cluster", "size", "fsum").groupBy(key).cogroup(graph.select("a", "b", "w").groupBy(key)).applyInArrow(one, "cluster long, to long, size long, fsum array<double>")
 
 
-def weighed(graph: DataFrame, clusters: DataFrame, offset: float) -> DataFrame:
-    """a, b, w of a graph's pairs, from the clusters' sums."""
-    ends = [clusters.select(F.col("cluster").alias(e), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}")) for e in "ab"]
-    return graph.join(ends[0], "a").join(ends[1], "b").select("a", "b", weight("fsum_a", "fsum_b", offset, "size_a", "size_b").alias("w"))
-
-
-def capped(graph: DataFrame, cap: int) -> DataFrame:
-    """Edges that are among the best ``cap`` at one of their ends."""
+def ranked(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """a, b, w, best: each edge once, and whether it is the best at both of its ends; with ``cap`` those alone that are
+    among the best ``cap`` at one of them. Rows may repeat an edge, with one weight."""
     by = Window.partitionBy("i").orderBy(F.desc("w"), "j")
-    best = pairs.directed(graph).withColumn("r", F.row_number().over(by)).where(F.col("r") <= cap)
-    return best.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
-
-
-def renamed(graph: DataFrame, merged: DataFrame) -> DataFrame:
-    """The distinct pairs a < b that a graph's edges are between after the merges."""
-    to = [merged.select(F.col("b").alias(e), F.col("a").alias(f"_{e}")) for e in "ab"]
-    ends = graph.select("a", "b").join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("_a", "a").alias("p"), F.coalesce("_b", "b").alias("q"))
-    return ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    # Repeated rows share a rank, so that a rank counts neighbours.
+    placed = pairs.directed(edges).withColumn("r", F.dense_rank().over(by))
+    placed = placed if cap is None else placed.where(F.col("r") <= cap)
+    first = lambda end: F.max((F.col("r") == 1) & (F.col("i") == F.col(end)))
+    return placed.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "w", "r").groupBy("a", "b").agg(F.max("w").alias("w"), (first("a") & first("b")).alias("best"))
+
+
+def merged(clusters: DataFrame, graph: DataFrame) -> DataFrame:
+    """cluster, size, fsum, of: the clusters after b joins a for each best edge of a graph; ``of`` are those that each was."""
+    to = graph.where("best").select(F.col("b").alias("cluster"), F.col("a").alias("_to"))
+    parts = clusters.select("cluster", "size", "fsum").join(to, "cluster", "left")
+    both = F.collect_list(F.struct("cluster", "size", "fsum"))  # two at most, as best edges are a matching
+    found = parts.groupBy(F.coalesce("_to", "cluster").alias("to")).agg(F.array_sort(both).alias("p"))
+    x, y = F.col("p")[0], F.get(F.col("p"), F.lit(1))
+    one = F.size("p") == 1
+    added = F.when(one, x["fsum"]).otherwise(F.zip_with(x["fsum"], y["fsum"], lambda u, v: u + v))
+    return found.select(F.col("to").alias("cluster"), (x["size"] + F.coalesce(y["size"], F.lit(0))).alias("size"), added.alias("fsum"), F.col("p.cluster").alias("of"))
+
+
+def taken_over(graph: DataFrame, clusters: DataFrame, offset: float, places: int) -> DataFrame:
+    """a, b, w: the edges of a graph between what merged returns, weighed anew where an end is a union; rows may repeat one."""
+    ends = [clusters.select(F.explode("of").alias(e), F.col("cluster").alias(f"to_{e}"), F.col("size").alias(f"size_{e}"), F.col("fsum").alias(f"fsum_{e}"), (F.size("of") > 1).alias(f"new_{e}")) for e in "ab"]
+    met = graph.select("a", "b", "w").join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
+    # The sizes in the order of the ends, so that both rows of a repeated edge have one weight.
+    turned = F.col("to_a") > F.col("to_b")
+    met = met.withColumns({"_p": F.when(turned, F.col("size_b")).otherwise(F.col("size_a")), "_q": F.when(turned, F.col("size_a")).otherwise(F.col("size_b"))})
+    w = F.when(F.col("new_a") | F.col("new_b"), F.round(weight("fsum_a", "fsum_b", offset, "_p", "_q"), places)).otherwise(F.col("w"))
+    return met.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"), w.alias("w"))
 
 
 #: A graph that is down to so many edges is contracted to its end by one task; labels are stored after so many steps.
@@ -148,7 +162,8 @@ def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbou
 
     Where a cluster grows by its neighbours one at a time, a graph has hundreds of steps with few edges: from ``small_edges``
     on, one task does its remaining steps. It gets those edges and the clusters at their ends alone, whatever their number
-    in all."""
+    in all. A distributed step stores two tables: the clusters that its best edges made, with the names of their parts,
+    and the graph between these, which tells the next best edges."""
     keep = keeper(problem.nodes.sparkSession, "lazy")
     first, then = (neighbours.parse_index(x) if isinstance(x, str) else x for x in (index, later or index))
     clusters, labels, rounds = keep(problem.clusters(), "clusters-0"), problem.nodes.select("node_id", F.col("node_id").alias("cluster")), []
@@ -161,17 +176,16 @@ def dense_laec(problem: Problem, k: int = 5, cap: int = 5, index: str | neighbou
             moved = last.where("to <> cluster").select(F.col("to").alias("a"), F.col("cluster").alias("b"))
             return Solution(problem, contraction.relabelled(labels, moved), rounds + list(last.select("rounds").first()["rounds"]))
         near = neighbours.nearest(clusters, min(k, n - 1), problem.offset, first if build == 1 else then, places=places, n=(n, n))
-        graph, step = keep(matching.candidates(near.withColumn("w", F.round("w", places))), f"graph-{build}"), 0
+        graph, step = keep(ranked(matching.candidates(near.withColumn("w", F.round("w", places)))), f"graph-{build}"), 0
         before = n
         while (edges := graph.count()) > small_edges:
             step += 1
             tag = f"{build}-{step}"
-            merged = keep(matching.mutual_best(graph).select("a", "b"), f"merged-{tag}")
-            labels = contraction.relabelled(labels, merged)
+            labels = contraction.relabelled(labels, graph.where("best").select("a", "b"))
             labels = keep(labels, f"labels-{tag}") if step % STEPS_KEPT == 0 else labels
-            clusters = keep(contraction.contracted(clusters, merged), f"clusters-{tag}")
-            weights = weighed(renamed(graph, merged), clusters, problem.offset).withColumn("w", F.round("w", places))
-            graph = keep(capped(pairs.positive(weights), cap), f"graph-{tag}")
+            clusters = keep(merged(clusters, graph), f"merged-{tag}")
+            graph = keep(ranked(pairs.positive(taken_over(graph, clusters, problem.offset, places)), cap), f"graph-{tag}")
+        clusters = clusters.select("cluster", "size", "fsum")
         if edges:
             ends = graph.select(F.explode(F.array("a", "b")).alias("cluster")).distinct()
             done = keep(contracted_in_task(clusters.join(ends, "cluster", "left_semi"), graph, problem.offset, cap, places), f"done-{build}")

@@ -313,3 +313,24 @@ def test_cells_share_a_unit(spark, monkeypatch):
             assert [got.get((i, r + 1)) for r in range(k)] == [*want, *[None] * (k - len(want))]
         if probes > 4 and rows == 4096:
             assert found == [240 * k]
+
+
+def test_a_lazy_step_stores_two_tables(spark, monkeypatch):
+    """A distributed step stores the clusters it made and the graph between them, which tells the next best edges."""
+    x, names, put = np.random.default_rng(15).uniform(-1, 1, (50, 5)), [], Tables.__call__
+    p, (want, rounds_) = problem(spark, x, 0.3), literal_lazy(x, 0.3, 4, 3)
+    monkeypatch.setattr(Tables, "__call__", lambda self, df, name: names.append(name) or put(self, df, name))
+    found = lazy.dense_laec(p, 4, 3, index=neighbours.Index("ivf", 8, 8), later="faiss_brute_force", small_nodes=0, small_edges=0)
+    assert labels_of(found.labels) == want and found.rounds == rounds_
+    steps = [name for name in names if name.count("-") == 2 and not name.startswith("labels")]
+    assert len(steps) > 4 and all(steps[n].split("-")[1:] == steps[n + 1].split("-")[1:] for n in range(0, len(steps), 2)) and len(set(steps[::2])) == len(steps) // 2 == len({name.split("-", 1)[1] for name in steps})
+
+
+def test_ranked_edges(spark):
+    """The best edges and the capped ones, also where a row comes twice."""
+    rng = np.random.default_rng(16)
+    edges = {(int(min(e)), int(max(e))): float(w) for e, w in zip(rng.integers(0, 30, (90, 2)), rng.integers(1, 9, 90)) if e[0] != e[1]}
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    at_a, at_b = lazy.ranked_here(tuple(np.array(c) for c in zip(*rows)))
+    got = lazy.ranked(spark.createDataFrame(rows + rows[::3], "a long, b long, w double"), 2)
+    assert rows_of(got) == sorted(((*e, i == j == 0) for e, i, j in zip(rows, at_a.tolist(), at_b.tolist()) if min(i, j) < 2), key=repr)
