@@ -334,3 +334,16 @@ def test_ranked_edges(spark):
     at_a, at_b = lazy.ranked_here(tuple(np.array(c) for c in zip(*rows)))
     got = lazy.ranked(spark.createDataFrame(rows + rows[::3], "a long, b long, w double"), 2)
     assert rows_of(got) == sorted(((*e, i == j == 0) for e, i, j in zip(rows, at_a.tolist(), at_b.tolist()) if min(i, j) < 2), key=repr)
+
+
+@pytest.mark.parametrize("way", ["dense_gaec", "dense_gaec_inc"])
+def test_a_merge_fills_one_list(way, monkeypatch):
+    """Lists of other clusters are looked at when they lead alone; large clusters' weights are found in double."""
+    rng, calls, best = np.random.default_rng(17), [], sequential._Rows.best_of_held
+    monkeypatch.setattr(sequential._Rows, "best_of_held", lambda *a: (calls.append(1), best(*a))[1])
+    for x in (rng.normal(size=(900, 6)), np.round(rng.normal(size=(400, 3)) + [2, 0, 0], 1)):
+        calls.clear()
+        label, done = sequential.WAYS[way](x, 0.2, *((5, 5) if way == "dense_gaec_inc" else ()))
+        want, gained = sequential.by_matrix(x, 0.2)
+        assert label.tolist() == want.tolist() and done == pytest.approx(gained)
+        assert np.bincount(label).max() > sequential.BIG and len(done) <= len(calls) < 4 * len(done)
