@@ -347,3 +347,15 @@ def test_a_merge_fills_one_list(way, monkeypatch):
         want, gained = sequential.by_matrix(x, 0.2)
         assert label.tolist() == want.tolist() and done == pytest.approx(gained)
         assert np.bincount(label).max() > sequential.BIG and len(done) <= len(calls) < 4 * len(done)
+
+
+def test_gaec_beyond_its_matrix(spark, monkeypatch):
+    """An instance that is too large for a matrix is solved all the same, with equal labels."""
+    p = problem(spark, np.random.default_rng(18).normal(size=(90, 4)), 0.2)
+    want = sorted((r.node_id, r.cluster) for r in sequential.solve(p.nodes, p.offset, "gaec").collect())
+    x = np.random.default_rng(18).normal(size=(90, 4))
+    monkeypatch.setattr(sequential, "MOST_MATRIX_NODES", 80)
+    with pytest.raises(ValueError, match="too many"):
+        sequential.by_matrix(x, 0.2)
+    label, done = sequential.WAYS["gaec"](x, 0.2)
+    assert [(i, int(c)) for i, c in enumerate(label)] == want and len(done) == 90 - len({c for _, c in want})
