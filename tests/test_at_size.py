@@ -359,3 +359,15 @@ def test_gaec_beyond_its_matrix(spark, monkeypatch):
         sequential.by_matrix(x, 0.2)
     label, done = sequential.WAYS["gaec"](x, 0.2)
     assert [(i, int(c)) for i, c in enumerate(label)] == want and len(done) == 90 - len({c for _, c in want})
+
+
+def test_pairs_are_sent_few_times(spark, monkeypatch):
+    """Blocks of pairs grow with the table, as shuffles of each node to each block do not fit the disk."""
+    sizes, over = [], pairs.over_pairs
+    monkeypatch.setattr(pairs, "over_pairs", lambda *a, **k: (sizes.append(a[5]), over(*a, **k))[1])
+    nodes = spark.range(60_000).selectExpr("id as node_id", "array(1.0D, id) as features")
+    pairs.pair_weights(nodes, 0.1, 6)
+    assert sizes == [5000]
+    x = np.random.default_rng(19).normal(size=(70, 3))
+    got = {(r.a, r.b): r.w for r in pairs.pair_weights(problem(spark, x, 0.1).nodes, 0.1, 6).collect()}
+    assert got == {(i, j): pytest.approx(x[i] @ x[j] - 0.1, abs=1e-6) for i in range(70) for j in range(i + 1, 70)}
