@@ -127,6 +127,46 @@ def pair_weights(nodes: DataFrame, offset: float, places: int | None = None, blo
     return over_pairs(nodes, offset, give, EDGES, places, block_rows or large_blocks(nodes), strip=64)
 
 
+def leading_edges(nodes: DataFrame, offset: float, k: int, places: int | None = None) -> DataFrame:
+    """Of the positive edges those that may lead once the edges at any k - 1 nodes are gone; ids must be distinct.
+
+    Such an edge is among the k first of both of its ends' (weight, then smaller neighbour), so it is among the k first of
+    one end in a strip."""
+
+    def give(ids, _, w, asked, void):
+        order = np.where(np.isnan(w), np.inf, w)
+        order[order <= 0] = -np.inf
+        for gone in (~asked if asked is not None else None, void):
+            if gone is not None:
+                order[gone] = -np.inf
+        if order.shape[1] > k:
+            least = np.partition(order, order.shape[1] - k, axis=1)[:, [order.shape[1] - k]]
+            over, level = order > least, order == least
+            level &= np.cumsum(level, axis=1, dtype=np.int32) <= k - over.sum(axis=1, keepdims=True)
+            keep = (over | level) & (order > 0)
+        else:
+            keep = order > 0
+        return _edges(ids, w, *np.nonzero(keep), None)
+
+    return over_pairs(nodes, offset, give, EDGES, places, large_blocks(nodes))
+
+
+def edges_at(nodes: DataFrame, ends: list[int], offset: float, places: int | None = None) -> DataFrame:
+    """a, b, w of all edges at the nodes ``ends``, whose features are few rows; an edge between two of them comes twice."""
+    few = nodes.where(F.col("node_id").isin(ends)).select("node_id", "features").toArrow()
+    keys, (y, lengths) = few["node_id"].to_numpy(), matrix(few["features"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (x, size) = batch["node_id"].to_numpy(), matrix(batch["features"])
+            width = min(x.shape[1], y.shape[1])
+            for key, v, length in zip(keys, y, lengths):
+                w, void, some = rounded(x[:, :width] @ v[:width] - offset, places), (size != length) | (size < 0), ids != key
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, key)[some]), pa.array(np.maximum(ids, key)[some]), pa.array(w[some], mask=void[some])], names=["a", "b", "w"])
+
+    return nodes.where("node_id is not null").select("node_id", "features").mapInArrow(found, EDGES)
+
+
 def weights_over(nodes: DataFrame, offset: float, places: int | None = None, zero: bool = False) -> DataFrame:
     """positive(pair_weights(...)), or non_negative where ``zero``; the others don't leave the products' task."""
 

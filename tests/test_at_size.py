@@ -361,6 +361,22 @@ def test_gaec_beyond_its_matrix(spark, monkeypatch):
     assert [(i, int(c)) for i, c in enumerate(label)] == want and len(done) == 90 - len({c for _, c in want})
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_steps_store_edges_that_may_lead(spark, monkeypatch, seed):
+    """Steps over few stored edges give the labels of steps over all, with hubs, ties, nulls and one block or more."""
+    rng = np.random.default_rng(seed)
+    x = [hub(30), np.round(rng.uniform(-1, 1, (50, 2)), 1), rng.normal(size=(50, 4))][seed]
+    rows = [(3 * i, v.tolist()) for i, v in enumerate(x)]
+    rows[7], rows[9] = (21, None), (27, [None, *rows[9][1][1:]])
+    p = Problem(spark.createDataFrame(rows, "node_id long, features array<double>"), 0.1)
+    want, stored, put = rows_of(rounds.sequential_by_edges(p, 6)), {}, Tables.__call__
+    monkeypatch.setattr(Tables, "__call__", lambda self, df, name: stored.setdefault(name, put(self, df, name)))
+    monkeypatch.setattr(rounds, "WHOLE", 5)
+    monkeypatch.setattr(pairs, "pair_weights", no_pairs)
+    assert rows_of(rounds.sequential_by_edges(p, 6)) == want and len({c for _, c in want}) == len(rows) - 6
+    assert stored["union-6"].count() == len(rows) - 7 and stored["edges-0"].count() < len(rows) * (len(rows) - 1) // 2
+
+
 def test_pairs_are_sent_few_times(spark, monkeypatch):
     """Blocks of pairs grow with the table, as shuffles of each node to each block do not fit the disk."""
     sizes, over = [], pairs.over_pairs
