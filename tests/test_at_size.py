@@ -387,3 +387,44 @@ def test_pairs_are_sent_few_times(spark, monkeypatch):
     x = np.random.default_rng(19).normal(size=(70, 3))
     got = {(r.a, r.b): r.w for r in pairs.pair_weights(problem(spark, x, 0.1).nodes, 0.1, 6).collect()}
     assert got == {(i, j): pytest.approx(x[i] @ x[j] - 0.1, abs=1e-6) for i in range(70) for j in range(i + 1, 70)}
+
+
+def test_edges_are_not_stored_of_many_nodes(spark, monkeypatch):
+    """Rounds that weigh edges when they look for the best give the labels of rounds over stored edges."""
+    x = np.random.default_rng(20).uniform(-1, 1, (80, 5))
+    p = problem(spark, x, 0.2)
+    want, names, put = rounds.parallel_by_edges(p), [], Tables.__call__
+    labels = rows_of(want.labels)
+    monkeypatch.setattr(Tables, "__call__", lambda self, df, name: (names.append(name), put(self, df, name))[1])
+    monkeypatch.setattr(rounds, "STORED", 70)
+    monkeypatch.setattr(rounds, "HERE", 50)
+    for small in (30, 0):
+        names.clear()
+        found = rounds.parallel_by_edges(p, small=small)
+        assert found.rounds == want.rounds and rows_of(found.labels) == labels and "clusters-1" in names and not any(n.startswith("edges-") for n in names)
+    odd = Problem(p.nodes.selectExpr("node_id", "if(node_id = 7, null, features) as features"), 0.2)
+    assert (7, 7) in rows_of(rounds.parallel_by_edges(odd, small=30).labels) and "edges-1" in names
+
+
+def test_rounds_look_at_what_changed():
+    """The nearest found anew where they may have changed are those of all clusters weighed each round."""
+    rng = np.random.default_rng(21)
+    for x in (np.round(rng.normal(size=(120, 3)), 1), rng.normal(size=(300, 6)), hub(30)):
+        final, size, sums, counts = np.arange(len(x)), np.ones(len(x)), x.copy(), []
+        while True:
+            w = np.round(sums @ sums.T - 0.2 * np.outer(size, size), 9)
+            w[:, size == 0] = w[size == 0] = -np.inf
+            np.fill_diagonal(w, -np.inf)
+            edges = {(min(i, j), max(i, j)): w[i, j] for i, j in enumerate(w.argmax(axis=1).tolist()) if w[i, j] > 0}
+            used, found = set(), []
+            for a, b in sorted(edges, key=lambda e: (-edges[e], e)):
+                if not used & {a, b}:
+                    used |= {a, b}
+                    found.append((a, b))
+            if not found:
+                break
+            counts.append(len(found))
+            for a, b in found:
+                sums[a], size[a], size[b], final[final == b] = sums[a] + sums[b], size[a] + size[b], 0, a
+        to, done = rounds.rounds_here(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x, 0.2, 9)
+        assert to.tolist() == final.tolist() and done == counts
